@@ -65,30 +65,50 @@ def rolling_cuts(data: np.ndarray, mean: int = MEAN_CHUNK) -> np.ndarray:
     return np.flatnonzero((h & mask) == 0) + WINDOW
 
 
-def cut_text(data: bytes, mean: int = MEAN_CHUNK) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of the chunks of a UTF-8 text, and whether each end is exact.
+def cut_texts(texts: list[bytes], mean: int = MEAN_CHUNK) -> Iterator[tuple[list[int], list[bool]]]:
+    """Of each UTF-8 text the ends of its chunks, and whether each end is exact.
 
     A proposed cut moves on to the next exact place before the following proposal, and stays where it is (at a
-    character's start) if there is none.
+    character's start) if there is none. Texts are worked on together, but a text's cuts depend on its own bytes alone.
     """
-    raw = np.frombuffer(data, np.uint8)
-    ends = [rolling_cuts(raw[s : s + SLICE + WINDOW - 1], mean) + s for s in range(0, len(raw), SLICE)]
-    cuts = np.unique(np.concatenate(ends)) if ends else np.empty(0, np.int64)
-    cuts = cuts[cuts < len(raw)]
-    if not len(cuts):
-        return np.array([len(raw)], np.int64), np.array([True])
-    places = np.flatnonzero(_VISIBLE[raw[:-1]] & _BLANK[raw[1:]]) + 1
-    at = np.searchsorted(places, cuts)
-    limit = np.append(cuts[1:], len(raw))
-    exact = at < len(places)
-    moved = np.where(exact, places[np.minimum(at, max(len(places) - 1, 0))] if len(places) else 0, cuts)
-    exact &= moved < limit
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        if held and size + len(text) > SLICE:
+            yield from _cut_group(held, mean)
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield from _cut_group(held, mean)
+
+
+def _cut_group(texts: list[bytes], mean: int) -> Iterator[tuple[list[int], list[bool]]]:
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    starts = np.append(0, ends[:-1])
+    cuts = [rolling_cuts(raw[s : s + SLICE + WINDOW - 1], mean) + s for s in range(0, len(raw), SLICE)]
+    cuts = np.unique(np.concatenate(cuts)) if cuts else np.empty(0, np.int64)
+    owner = np.searchsorted(ends, cuts, "right")
+    own = owner < len(texts)
+    cuts, owner = cuts[own], owner[own]
+    own = cuts - starts[owner] >= WINDOW  # the hashed bytes are all of this text
+    cuts, owner = cuts[own], owner[own]
+    limit = np.minimum(np.append(cuts[1:], len(raw)), ends[owner])
+    places = np.append(np.flatnonzero(_VISIBLE[raw[:-1]] & _BLANK[raw[1:]]) + 1, len(raw))
+    moved = places[np.searchsorted(places, cuts)]
+    exact = moved < limit
     moved = np.where(exact, moved, cuts)
     for i in np.flatnonzero(~exact):  # rare: no white space between two proposals
-        while moved[i] < len(raw) and raw[moved[i]] & 0xC0 == 0x80:
+        while moved[i] < ends[owner[i]] and raw[moved[i]] & 0xC0 == 0x80:
             moved[i] += 1
-    keep = np.append(moved[1:] != moved[:-1], True) & (moved < len(raw))
-    return np.append(moved[keep], len(raw)), np.append(exact[keep], True)
+    keep = np.append(moved[1:] != moved[:-1], True) & (moved < ends[owner])
+    moved, exact, owner = moved[keep], exact[keep], owner[keep]
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    inner, sure = (moved - starts[owner]).tolist(), exact.tolist()
+    for i, text in enumerate(texts):
+        a, b = bounds[i], bounds[i + 1]
+        yield [*inner[a:b], len(text)], [*sure[a:b], True]
 
 
 def exact_places(data: bytes) -> np.ndarray:
@@ -134,9 +154,10 @@ def _encode(enc, chunk: bytes) -> np.ndarray:
     return np.array(enc.encode_ordinary(chunk.decode()), np.int32)
 
 
-def _chunks(data: bytes, mean: int) -> tuple[list[bytes], list[bool]]:
-    ends, exact = cut_text(data, mean)
-    return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], exact.tolist()
+def chunked(texts: list[bytes], mean: int) -> Iterator[tuple[list[bytes], list[bool]]]:
+    """Of each text its chunks and whether each ends at an exact place."""
+    for text, (ends, exact) in zip(texts, cut_texts(texts, mean)):
+        yield [text[a:b] for a, b in zip([0, *ends[:-1]], ends)], exact
 
 
 def _texts(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
@@ -149,14 +170,12 @@ def shared_chunks(documents: DataFrame, mean: int = MEAN_CHUNK) -> DataFrame:
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[bytes, int] = {}
-            for data in _texts(batch, 0):
-                if data:
-                    for chunk in _chunks(data, mean)[0]:
-                        h = xxhash.xxh3_128_digest(chunk)
-                        out[h] = out.get(h, 0) + 1
+            for chunks, _ in chunked(_texts(batch, 0), mean):
+                for h in map(xxhash.xxh3_128_digest, chunks):
+                    out[h] = out.get(h, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.int64())], names=["hash", "n"])
 
-    found = documents.select("text").where("text is not null").mapInArrow(hashes, "hash binary, n long")
+    found = documents.select("text").where("text is not null and text <> ''").mapInArrow(hashes, "hash binary, n long")
     return found.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
 
 
@@ -197,8 +216,8 @@ def encode_documents(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, f
         bits, seen = known.value, set()
         for batch in batches:
             hashes, chunks = [], []
-            for data in _texts(batch, 0):
-                for chunk in _chunks(data, mean)[0] if data else ():
+            for own, _ in chunked(_texts(batch, 0), mean):
+                for chunk in own:
                     h = xxhash.xxh3_128_digest(chunk)
                     if _in_filter(bits, h) and h not in seen:
                         if len(seen) > 1 << 17:
@@ -214,7 +233,7 @@ def encode_documents(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, f
             ids = [_pack(_encode(enc, c)) for c in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["hash", "ids"])
 
-    once = docs.where("text is not null").select("text").mapInArrow(offers, "hash binary, chunk binary").dropDuplicates(["hash"])
+    once = docs.where("text is not null and text <> ''").select("text").mapInArrow(offers, "hash binary, chunk binary").dropDuplicates(["hash"])
     dictionary = space.put(once.mapInArrow(encode_once, "hash binary, ids binary"))
 
     # equal rows share a key: their chunks are the same
@@ -224,8 +243,8 @@ def encode_documents(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, f
         bits = known.value
         for batch in batches:
             rows, hashes = [], []
-            for row, data in zip(batch.column(0).to_pylist(), _texts(batch, 1)):
-                for h in {xxhash.xxh3_128_digest(c) for c in _chunks(data, mean)[0]}:
+            for row, (chunks, _) in zip(batch.column(0).to_pylist(), chunked(_texts(batch, 1), mean)):
+                for h in set(map(xxhash.xxh3_128_digest, chunks)):
                     if _in_filter(bits, h):
                         rows.append(row)
                         hashes.append(h)
@@ -243,9 +262,8 @@ def encode_documents(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, f
             texts, given = _texts(batch, 1), batch.column(2)
             for start in range(0, batch.num_rows, 1000):
                 out = []
-                for i in range(start, min(start + 1000, batch.num_rows)):
+                for i, (chunks, exact) in enumerate(chunked(texts[start : start + 1000], mean), start):
                     have = {g["hash"]: g["ids"] for g in given[i].as_py() or ()}
-                    chunks, exact = _chunks(texts[i], mean)
                     out.append(join_chunks(enc, chunks, exact, _chunk_ids(enc, chunks, exact, have)))
                 offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out), pa.int32()))
