@@ -2,8 +2,8 @@
 
 A text is the sequence of its GRAM-character grams, each with a hash. A compact window (l, c, r) stands for all gram
 sequences that begin at l or later, end at r or earlier and have their least hash at c (the leftmost of equals): these
-are the nodes of the Cartesian tree of the hashes, of which only those wide enough to hold a sequence of the wanted
-length are kept. A stretch of text that stands in two records has its least gram at the same place in both, so both
+are the nodes of the Cartesian tree of the hashes. Only those wide enough to hold a sequence of the wanted length are kept, cut to
+what sequences of this length around c can reach. A stretch of text that stands in two records has its least gram at the same place in both, so both
 have a window under this gram that covers the stretch; one hash function is enough for exact spans. Windows whose gram
 occurs in one text only are done with. The others are grouped by gram: records with the same content of the window
 share it whole, and where contents differ the sequences of the wanted length in it are compared by fingerprint, which
@@ -59,10 +59,10 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def compact_windows(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r) of the Cartesian tree's windows of at least `width` hashes, ordered by l.
+    """(l, c, r) of the Cartesian tree's windows of at least `width` hashes, cut to width - 1 on either side of c, by l.
 
-    Order is by the upper bits of the hash and then by position. The windows of the tree's nodes are read off the
-    sliding minima: c is the least of exactly those stretches of `width` that lie in [l, r].
+    Order is by the upper bits of the hash and then by position. The windows are read off the sliding minima: c is the
+    least of exactly those stretches of `width` that lie in [l, r].
     """
     if len(hashes) < width:
         none = np.empty(0, np.int64)

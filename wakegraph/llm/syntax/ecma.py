@@ -158,9 +158,10 @@ class _Script:
         star, self.star = getattr(self, "star", False), False
         return star, False
 
-    def declares(self) -> bool:
+    def declares(self, in_for: bool = False) -> bool:
+        """Whether `let` begins a declaration here."""
         nxt = self.peek()[0]
-        return nxt[:1] in "[{" and nxt != "" or (bool(re.match(r"[^\W\d]|\$|\\", nxt)) and nxt not in ("in", "instanceof", "of") and nxt not in RESERVED)
+        return nxt[:1] in "[{" and nxt != "" or (bool(re.match(r"[^\W\d]|\$|\\", nxt)) and nxt not in RESERVED and not (in_for and nxt == "of"))
 
     def block(self) -> None:
         self.eat("{")
@@ -297,7 +298,7 @@ class _Script:
         self.eat("(")
         each = False
         if self.t != ";":
-            if self.t in ("var", "const") or self.word("let") and self.declares():
+            if self.t in ("var", "const") or self.word("let") and self.declares(True):
                 self.next()
                 n = self.declarations(False, in_for=True)
                 each = self.t == "in" or self.word("of")
