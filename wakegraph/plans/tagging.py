@@ -32,7 +32,8 @@ def url_tags(tests: DataFrame, urls: DataFrame, confidence: float = 0.6) -> Data
 
 
 def test_cases(documents: DataFrame) -> DataFrame:
-    return documents.where(F.col("doc_kind") == "test_case").select(F.col("doc_id").alias("test_id"), "text")
+    """Test cases, and the reports that name what they have covered."""
+    return documents.where(F.col("doc_kind").isin("test_case", "impact_report")).select(F.col("doc_id").alias("test_id"), "text")
 
 
 def covers_of(g) -> DataFrame:

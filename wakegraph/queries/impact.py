@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wakegraph.functions import names
 from wakegraph.operators import resolve, traverse
-from wakegraph.plans import slices
+from wakegraph.plans import report, slices
 from wakegraph.plans.graph import ACTION_BASE, QUERY_CALL, SENSITIVE, TASK_BASE, UPDATE_CALL, Graph
 from wakegraph.plans.tagging import covers_of
 
@@ -93,7 +93,7 @@ table_access AS (
   FROM calls WHERE dst IN ('{QUERY_CALL}', '{UPDATE_CALL}') AND regexp_extract(src, '{names.METHOD_FQN}', 1) <> ''
 )"""
 COVERS = r"""
-tests AS (SELECT doc_id AS test_id, text FROM documents WHERE doc_kind = 'test_case' AND text IS NOT NULL),
+tests AS (SELECT doc_id AS test_id, text FROM documents WHERE doc_kind IN ('test_case', 'impact_report') AND text IS NOT NULL),
 words AS (SELECT DISTINCT test_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS word FROM tests),
 covers AS (SELECT DISTINCT test_id, 'METHOD' AS kind, m.fqn AS key, 0.8::DOUBLE AS confidence FROM words w JOIN methods m ON w.word = m.simple WHERE m.start_line > 0)"""
 
@@ -329,3 +329,58 @@ def shortest_chain(g: Graph) -> DataFrame:
     chains = traverse.shortest_chains(pairs, g.calls, DEPTH)
     between = F.slice("chain", 2, F.greatest(F.col("length") - 1, F.lit(0)))
     return chains.select("src", "dst", "length", F.array_join(F.transform(between, names.method_simple), " > ").alias("via"))
+
+
+_ENTRIES = """, below AS (SELECT DISTINCT seed, node FROM walk UNION SELECT seed, seed FROM seeds),
+evidence AS (SELECT DISTINCT b.seed, b.node AS entry, u.url FROM below b JOIN method_urls u ON u.src = b.node
+  UNION ALL SELECT DISTINCT s.seed, NULL, c.url FROM seeds s JOIN methods m ON m.fqn = s.seed JOIN class_urls c ON c.class_fqn = m.owner)"""
+
+
+@query(
+    _with(METHODS, CALLS, INPUTS, BACK1, LINKS, URLS) + _RISK + _ENTRIES
+    + """ SELECT url, count(*) AS count, ['LOW','MEDIUM','HIGH'][max(CASE risk WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END)] AS risk, count(DISTINCT seed) AS n_methods, min(entry) AS first_entry
+FROM evidence LEFT JOIN risks ON fqn = seed GROUP BY url"""
+)
+def affected_api(g: Graph) -> DataFrame:
+    walk = g.space.put(g.backward(DEPTH, with_seed=False))
+    changed = g.methods.join(g.seeds.withColumnRenamed("seed", "fqn"), "fqn", "left_semi")
+    risks = slices.risk(walk, g.method_urls, g.method_tasks, changed, SENSITIVE)
+    reach = walk.select("seed", "node").unionByName(g.seeds.select("seed", F.col("seed").alias("node"))).distinct()
+    entries = reach.join(g.method_urls.withColumnRenamed("src", "node"), "node").select("seed", F.col("node").alias("entry"), "url")
+    own = changed.select(F.col("fqn").alias("seed"), F.col("owner").alias("class_fqn")).join(g.class_urls, "class_fqn").select("seed", "url")
+    return report.affected_apis(entries, risks, own)
+
+
+@query(
+    _with(METHODS, CALLS, INPUTS, BACK1, LINKS, URLS) + _RISK + _ENTRIES
+    + """, points AS (SELECT DISTINCT b.seed, b.node, t.task FROM below b JOIN method_tasks t ON t.src = b.node)
+SELECT task, count(*) AS count, ['LOW','MEDIUM','HIGH'][max(CASE risk WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END)] AS risk, count(DISTINCT seed) AS n_methods FROM points LEFT JOIN risks ON fqn = seed GROUP BY task"""
+)
+def affected_schedules(g: Graph) -> DataFrame:
+    walk = g.space.put(g.backward(DEPTH, with_seed=False))
+    changed = g.methods.join(g.seeds.withColumnRenamed("seed", "fqn"), "fqn", "left_semi")
+    risks = slices.risk(walk, g.method_urls, g.method_tasks, changed, SENSITIVE)
+    reach = walk.select("seed", "node").unionByName(g.seeds.select("seed", F.col("seed").alias("node"))).distinct()
+    return report.affected_schedules(slices.schedule_points(reach, g.method_tasks), risks)
+
+
+@query(
+    _with(METHODS, CALLS, INPUTS, FORE0, ACCESS)
+    + """, t AS (SELECT DISTINCT name, access FROM walk JOIN table_access a ON a.src = node)
+SELECT (SELECT count(DISTINCT name) FROM t) AS n_tables, (SELECT count(*) FROM t WHERE access = 'READS_TABLE') AS n_read, (SELECT count(*) FROM t WHERE access = 'WRITES_TABLE') AS n_written,
+  (SELECT coalesce(string_agg(name, ',' ORDER BY name), '') FROM (SELECT DISTINCT name FROM t ORDER BY name LIMIT 20)) AS sample"""
+)
+def layer_summary(g: Graph) -> DataFrame:
+    hits = g.forward(TABLE_DEPTH).select("node").distinct().join(g.table_access.withColumnRenamed("src", "node"), "node")
+    return report.layer_summary(hits)
+
+
+@query(_with(METHODS, CALLS, INPUTS, BACK1, LINKS, URLS) + _RISK + " SELECT coalesce(['LOW','MEDIUM','HIGH'][max(CASE risk WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END)], 'LOW') AS risk FROM risks")
+def overall_risk(g: Graph) -> DataFrame:
+    return report.overall_risk(_risks(g))
+
+
+@query()
+def report_json(g: Graph) -> DataFrame:
+    """The report of every changed method as JSON."""
+    return report.json_lines(impact_summary(g))

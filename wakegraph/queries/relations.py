@@ -93,14 +93,14 @@ def resolve_or_fallback(g: Graph) -> DataFrame:
     return merge.resolve_or_fallback(claims, g.methods)
 
 
-_USES = r"""uses AS (SELECT DISTINCT doc_id AS user_id, unnest(regexp_extract_all(text, '/api/[A-Za-z0-9_/]+')) AS used FROM documents WHERE text IS NOT NULL),
+_USES = r"""uses AS (SELECT DISTINCT path AS user_id, unnest(regexp_extract_all(content, '/api/[A-Za-z0-9_/]+')) AS used FROM repo_files WHERE content IS NOT NULL),
 ends AS (SELECT DISTINCT unnest(regexp_extract_all(content, '/api/[A-Za-z0-9_/]+(?:\?[A-Za-z0-9_=&;]+)?')) AS url FROM repo_files WHERE content IS NOT NULL)"""
 
 
 @query("WITH " + _USES + " SELECT DISTINCT user_id AS \"user\", url FROM uses JOIN ends ON url = used OR starts_with(url, used || '?')")
 def prefix_link(g: Graph) -> DataFrame:
-    """Documents linked to the endpoints of the configuration that they name, exactly or before a query."""
-    uses = g.table("documents").select(F.col("doc_id").alias("user"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("/api/[A-Za-z0-9_/]+"), 0))).alias("used"))
+    """Files linked to the endpoints that they name, exactly or before a query."""
+    uses = g.table("repo_files").select(F.col("path").alias("user"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("/api/[A-Za-z0-9_/]+"), 0))).alias("used"))
     ends = g.table("repo_files").select(F.explode(F.regexp_extract_all("content", F.lit(r"/api/[A-Za-z0-9_/]+(?:\?[A-Za-z0-9_=&;]+)?"), 0)).alias("url")).distinct()
     return merge.link_by_prefix(uses, ends)
 
@@ -275,9 +275,15 @@ def interval_smallest_enclosing(g: Graph) -> DataFrame:
     return intervals.smallest_enclosing(*_hunks_and_symbols(g), "symbol_id", "fqn")
 
 
-@query(_with(METHODS, _HUNKS) + "SELECT DISTINCT symbol_id, fqn FROM hunks JOIN syms USING (f) WHERE h_start <= s_start AND s_end <= h_end")
+@query(
+    _with(METHODS, _HUNKS)
+    + r"""SELECT DISTINCT symbol_id, s.fqn FROM changed_symbols c JOIN syms s ON s.f = split_part(replace(c.file_path, chr(92), '/'), '/', -1)
+WHERE c.kind IN ('CLASS', 'INTERFACE') AND c.start_line <= s_start AND s_end <= c.end_line"""
+)
 def interval_inside(g: Graph) -> DataFrame:
-    return intervals.inside(*_hunks_and_symbols(g), "symbol_id", "fqn")
+    """Methods within the lines of the changed types."""
+    types = g.table("changed_symbols").where(F.col("kind").isin("CLASS", "INTERFACE")).select("symbol_id", names.file_name(F.col("file_path")).alias("file_path"), F.col("start_line").alias("h_start"), F.col("end_line").alias("h_end"))
+    return intervals.inside(types, _hunks_and_symbols(g)[1], "symbol_id", "fqn")
 
 
 @query(_with(METHODS, _HUNKS) + "SELECT symbol_id, fqn FROM hunks JOIN syms USING (f) WHERE h_start <= s_end AND s_start <= h_end")
@@ -542,7 +548,7 @@ def camel_split(g: Graph) -> DataFrame:
     return m.select("fqn", F.trim(names.camel_words(F.col("simple_name"))).alias("words"), names.short_method(F.col("fqn")).alias("short")).distinct()
 
 
-_TESTS = """tests AS (SELECT doc_id AS test_id, text FROM documents WHERE doc_kind = 'test_case' AND text IS NOT NULL)"""
+_TESTS = """tests AS (SELECT doc_id AS test_id, text FROM documents WHERE doc_kind IN ('test_case', 'impact_report') AND text IS NOT NULL)"""
 
 
 @query(
@@ -563,11 +569,14 @@ def token_tagging(g: Graph) -> DataFrame:
 @query(
     _with(METHODS, LINKS, URLS, _TESTS)
     + """, words AS (SELECT DISTINCT test_id, unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')) AS word FROM tests),
-parts AS (SELECT DISTINCT url, split_part(url, '/', -1) AS word FROM method_urls WHERE length(split_part(url, '/', -1)) >= 4)
+pages AS (SELECT url FROM method_urls UNION SELECT '/page/' || lower(split_part(owner, '.', -1)) FROM methods WHERE owner IS NOT NULL),
+parts AS (SELECT DISTINCT url, split_part(url, '/', -1) AS word FROM pages WHERE length(split_part(url, '/', -1)) >= 4)
 SELECT DISTINCT test_id, 'URL' AS kind, url AS key, 0.6::DOUBLE AS confidence FROM words JOIN parts USING (word)"""
 )
 def url_fragment_tagging(g: Graph) -> DataFrame:
-    return tagging.url_tags(tagging.test_cases(g.table("documents")), g.method_urls.select("url"))
+    """Texts tagged with the URLs of methods, and of one page a class, whose last part they name."""
+    pages = g.methods.where("owner is not null").select(F.concat(F.lit("/page/"), F.lower(names.simple_name(F.col("owner")))).alias("url"))
+    return tagging.url_tags(tagging.test_cases(g.table("documents")), g.method_urls.select("url").unionByName(pages).distinct())
 
 
 @query(

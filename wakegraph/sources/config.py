@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ATTRIBUTE = r'([A-Za-z_][\w.-]*)\s*=\s*"([^"]*)"'
+_ATTRIBUTE = r"""([A-Za-z_][\w.-]*)\s*=\s*["']([^"'<>]*)["']"""
 
 
 def elements(texts: DataFrame, tag: str) -> DataFrame:
