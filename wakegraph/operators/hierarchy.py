@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from wakegraph.session import Workspace
 
-ROUNDS_PER_JOB = 6  # rounds that are planned together before their result is written
+MARKS_PER_NODE = 1_000_000  # links of one node that may meet in one task
+ROUNDS_PER_JOB = 8  # rounds that are planned together before their result is written
 
 
 def links(edges: DataFrame, child: str, parent: str) -> DataFrame:
@@ -26,16 +27,17 @@ def class_links(extends: DataFrame, implements: DataFrame) -> DataFrame:
     return links(extends, "from_class_fqn", "to_class_fqn").union(links(implements, "from_class_fqn", "to_interface_fqn")).distinct()
 
 
-def _round(edges: DataFrame, end: str, number: int) -> DataFrame:
+def _round(edges: DataFrame, end: str, number: int, hot: bool) -> DataFrame:
     """Marks the links of the nodes that, among the links not yet `gone`, stand only at `end`.
 
-    Every open link puts a mark on the node at its other end. The aggregate leaves one mark a node and map task, so
-    that a parent of very many children gets few, and the window tells a node's own links whether there is one.
+    Every open link puts a mark on the node at its other end, and the window tells a node's own links whether there is
+    one. With a hot node an aggregate first leaves one mark a node and map task, so that it gets few.
     """
     other = "parent" if end == "child" else "child"
     own = F.struct(F.col(end).alias("node"), F.col(other).alias("far"), "gone", F.lit(0).alias("mark"))
     mark = F.struct(F.col(other).alias("node"), F.lit(None).cast("string").alias("far"), F.lit(None).cast("int").alias("gone"), F.lit(1).alias("mark"))
-    rows = edges.select(F.explode(F.when(F.col("gone").isNull(), F.array(own, mark)).otherwise(F.array(own))).alias("r")).select("r.*").distinct()
+    rows = edges.select(F.explode(F.when(F.col("gone").isNull(), F.array(own, mark)).otherwise(F.array(own))).alias("r")).select("r.*")
+    rows = rows.distinct() if hot else rows
     marked = rows.withColumn("held", F.max("mark").over(Window.partitionBy("node"))).where("mark = 0")
     gone = F.when(F.col("gone").isNull() & (F.col("held") == 0), number).otherwise(F.col("gone"))
     return marked.select(F.col("node").alias(end), F.col("far").alias(other), gone.alias("gone")).select("child", "parent", "gone")
@@ -47,20 +49,20 @@ def peel(space: Workspace, edges: DataFrame, end: str) -> tuple[DataFrame, DataF
     end="child" peels from the leaves up, end="parent" from the roots down. A node that has lost all its links isn't
     listed: it stands above (below) the last peeled node at the other end of its links.
     """
-    left, level, n = edges.select("child", "parent"), 0, -1
+    left, level = edges.select("child", "parent"), 0
+    sizes = edges.groupBy(F.col("parent" if end == "child" else "child").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    hot = (sizes.agg(F.max("n")).first()[0] or 0) > MARKS_PER_NODE
     peeled = edges.select(F.col(end).alias("node"), F.lit(0).alias("level")).limit(0)
     while True:
         marked = left.withColumn("gone", F.lit(None).cast("int"))
         for k in range(ROUNDS_PER_JOB):
-            marked = _round(marked, end, level + k)
-        marked = space.put(marked)
+            marked = _round(marked, end, k, hot)  # the same numbers in every job, so that its code is compiled once
+        marked, seen = space.put_seen(marked.withColumn("gone", F.col("gone") + level), gone=F.col("gone").isNotNull(), left=F.col("gone").isNull())
         peeled = peeled.unionByName(marked.where("gone is not null").select(F.col(end).alias("node"), F.col("gone").alias("level")).distinct())
         left = marked.where("gone is null").select("child", "parent")
-        m = left.count()
         level += ROUNDS_PER_JOB
-        if m == 0 or m == n:
+        if not (seen["gone"] and seen["left"]):
             return peeled, left
-        n = m
 
 
 def least_reaching(space: Workspace, edges: DataFrame) -> DataFrame:
@@ -74,10 +76,10 @@ def least_reaching(space: Workspace, edges: DataFrame) -> DataFrame:
         now = state.select("node", "least", F.col("least").alias("was")).unionByName(sent).groupBy("node").agg(F.min("least").alias("least"), F.max("was").alias("was"))
         jump = state.select(F.col("node").alias("least"), F.col("least").alias("further"))
         now = now.join(jump, "least").select("node", F.least("least", "further").alias("least"), "was")
-        now = space.put(now.select("node", "least", (F.col("least") < F.col("was")).alias("moved")))
+        now, seen = space.put_seen(now.select("node", "least", (F.col("least") < F.col("was")).alias("moved")), moved=F.col("moved"))
         space.drop(state)
         state = now
-        if now.where("moved").isEmpty():
+        if not seen["moved"]:
             return state.select("node", "least")
 
 
@@ -156,16 +158,16 @@ class Hierarchy:
             self.arcs.join(self.levels.select(F.col("vertex").alias("parent"), F.col("level").alias("to_level")), "parent")
             .join(self.levels.select(F.col("vertex").alias("child"), F.col("level").alias("at_level")), "child")
         )
-        arcs = space.put(arcs.select("child", "parent", "to_level", "at_level"), "at_level")
-        inbox = space.folder(arcs.select(F.col("parent").alias("vertex"), F.col("child").alias("descendant"), "to_level"), "to_level")
-        inbox.append(arcs.select(F.col("parent").alias("vertex"), F.col("child").alias("descendant"), "to_level"))
-        lists = space.folder(arcs.select(F.col("parent").alias("vertex"), F.col("child").alias("descendant"), "to_level"), "to_level")
+        arcs = space.put(arcs.select("child", "parent", "to_level", "at_level"))
+        first = arcs.select(F.col("parent").alias("vertex"), F.col("child").alias("descendant"), "to_level")
+        up = arcs.select(F.col("child").alias("vertex"), F.col("parent").alias("up"), "to_level", "at_level")
+        inbox, outgoing, lists = space.folder(first, "to_level"), space.folder(up, "at_level"), space.folder(first, "to_level")
+        inbox.append(first)
+        outgoing.append(up)
         for level in range(1, self.top + 1):
-            complete = inbox.part(level).distinct().withColumn("to_level", F.lit(level))
-            lists.append(complete)
-            out = arcs.where(F.col("at_level") == level).select(F.col("child").alias("vertex"), F.col("parent").alias("up"), "to_level")
+            lists.append_to(level, inbox.part(level).distinct())
             if level < self.top:
-                inbox.append(lists.part(level).join(out, "vertex").select(F.col("up").alias("vertex"), "descendant", "to_level"))
+                inbox.append(lists.part(level).join(outgoing.part(level), "vertex").select(F.col("up").alias("vertex"), "descendant", "to_level"))
         return lists.all().select("vertex", "descendant")
 
     def descendants(self) -> DataFrame:

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 LOCAL_CONF = {
     "spark.sql.shuffle.partitions": "8",
@@ -61,6 +61,10 @@ class Folder:
     def append(self, df: DataFrame) -> None:
         df.write.mode("append").option("compression", "zstd").partitionBy(self.by).parquet(self.path)
 
+    def append_to(self, value: int, df: DataFrame) -> None:
+        """Files rows without the column under one value."""
+        df.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{self.by}={value}")
+
     def part(self, value: int) -> DataFrame:
         """What is filed under a value; no rows where nothing is."""
         path = f"{self.path}/{self.by}={value}"
@@ -94,6 +98,18 @@ class Workspace:
         self.paths[id(out)] = path
         return out
 
+    def put_seen(self, df: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, bool]]:
+        """put, and for each condition whether any row met it, seen while writing instead of in a job of its own.
+
+        Only whether a count is zero is used: a task that runs again may be counted twice.
+        """
+        from pyspark.sql import functions as F
+
+        seen = Observation()
+        out = self.put(df.observe(seen, *[F.count_if(c).alias(n) for n, c in conditions.items()]))
+        got = seen.get
+        return out, {n: bool(got.get(n)) for n in conditions}
+
     def folder(self, like: DataFrame, by: str) -> Folder:
         """An empty table to be filled piece by piece, filed by the column `by`."""
         return Folder(self.spark, f"{self.root}/{uuid.uuid4().hex}", like, by)
