@@ -38,8 +38,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, depth: int, backward: bool = False,
     visited = frontier if with_seed else frontier.limit(0)
     for hop in range(1, clamp_depth(depth) + 1):
         reached = frontier.select("seed", F.col("node").alias("at")).join(hop_edges, "at").select("seed", F.col("to").alias("node")).distinct()
-        frontier = space.put(reached.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("dist", F.lit(hop)))
-        if frontier.isEmpty():
+        frontier, seen = space.put_seen(reached.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("dist", F.lit(hop)), any=F.lit(True))
+        if not seen["any"]:
             break
         visited = visited.unionByName(frontier)
     return visited
@@ -80,20 +80,25 @@ def shortest_chains(pairs: DataFrame, edges: DataFrame, max_hops: int) -> DataFr
     return chains.select("src", "dst", "length", "chain")
 
 
-def closure(links: DataFrame, depth: int = 100) -> DataFrame:
-    """(child, ancestor, depth) over (child, parent) links, cycle-safe, each pair with its least depth."""
+def closure(links: DataFrame, depth: int = 128) -> DataFrame:
+    """(child, ancestor, depth) over (child, parent) links, cycle-safe, each pair with its least depth.
+
+    Depths double: a shortest way of k + r steps leads in k steps to a node at exactly that depth, and on from there in
+    r <= k, so each round joins the pairs at depth k with all that are known. Ancestors further than `depth` links
+    away, rounded up to a power of two, are left out.
+    """
     space = Workspace(links.sparkSession)
-    links = space.put(links.select("child", "parent").where("child is not null and parent is not null").distinct())
-    frontier = links.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    found = frontier
-    for hop in range(2, depth + 1):
-        step = links.select(F.col("child").alias("ancestor"), F.col("parent").alias("further"))
-        reached = frontier.join(step, "ancestor").select("child", F.col("further").alias("ancestor")).distinct()
-        frontier = space.put(reached.join(found.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(hop)))
-        if frontier.isEmpty():
+    known = space.put(links.select("child", F.col("parent").alias("ancestor")).where("child is not null and ancestor is not null").distinct().withColumn("depth", F.lit(1)))
+    k = 1
+    while k < depth:
+        half = known.where(F.col("depth") == k).select("child", F.col("ancestor").alias("mid"))
+        rest = known.select(F.col("child").alias("mid"), "ancestor", F.col("depth").alias("r"))
+        reached = half.join(rest, "mid").groupBy("child", "ancestor").agg((F.min("r") + k).alias("depth"))
+        new, seen = space.put_seen(reached.join(known.select("child", "ancestor"), ["child", "ancestor"], "left_anti"), any=F.lit(True))
+        if not seen["any"]:
             break
-        found = found.unionByName(frontier)
-    return found
+        known, k = known.unionByName(new), 2 * k
+    return known
 
 
 def collected(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
