@@ -44,7 +44,7 @@ def secured_urls(texts: DataFrame) -> DataFrame:
     return elements(texts, "url").select(attribute("path").alias("url"), attribute("apimethod").alias("api_method")).where("url is not null").distinct()
 
 
-def api_mappings(texts: DataFrame, tag: str = "ADSProductAPIs") -> DataFrame:
+def api_mappings(texts: DataFrame, tag: str) -> DataFrame:
     """(url, class_fqn, call): rows without a URL are left out; URLs get a leading slash."""
     url = attribute("API_URL")
     slashed = F.when(url.startswith("/"), url).otherwise(F.concat(F.lit("/"), url))
@@ -79,7 +79,11 @@ def forwards(texts: DataFrame, apis: DataFrame) -> DataFrame:
     return f.join(apis.select(F.col("url").alias("forward"), "class_fqn"), "forward").distinct()
 
 
-def task_classes(texts: DataFrame, tags: tuple[str, ...] = ("TaskEngine_Task", "BackgroundTaskDetails")) -> DataFrame:
+# Elements that define tasks, in the order in which they are read.
+TASK_TAGS = ("TaskEngine_Task", "BackgroundTaskDetails")
+
+
+def task_classes(texts: DataFrame, tags: tuple[str, ...] = TASK_TAGS) -> DataFrame:
     """(name, class_fqn): the last definition of a task name wins, by file and place in it."""
     out = None
     for n, tag in enumerate(tags):
@@ -127,16 +131,16 @@ def table_candidates(wanted: DataFrame, seeds: DataFrame, columns: list[str], ca
     return best.join(listed, "table", "left")
 
 
-def markdown_cases(texts: DataFrame) -> DataFrame:
+def markdown_cases(texts: DataFrame, prefix: str = "LBF") -> DataFrame:
     """(test_id, title, area, steps, expected, source) of Markdown tables in texts(path, content).
 
-    Rows need five cells and an id of the form LBF-AREA-NN; separators and headers are skipped; parentheses go from ids.
+    Rows need five cells and an id of the form prefix-AREA-NN; separators and headers are skipped; parentheses go from ids.
     """
     rows = texts.where("content is not null").select("path", F.explode(F.split("content", r"\r?\n")).alias("line")).where(F.trim("line").startswith("|"))
     cells = F.transform(F.slice(F.split(F.trim("line"), r"\|"), 2, 99), F.trim)
     c = rows.select("path", cells.alias("c")).where(F.size("c") >= 6).withColumn("id", F.regexp_replace(F.element_at("c", 1), r"[()`*]", ""))
-    return c.where(F.col("id").rlike(r"^LBF-[A-Z]+-\d+$")).select(
-        F.col("id").alias("test_id"), F.element_at("c", 2).alias("title"), F.regexp_extract("id", r"^LBF-([A-Z]+)-", 1).alias("area"),
+    return c.where(F.col("id").rlike(rf"^{prefix}-[A-Z]+-\d+$")).select(
+        F.col("id").alias("test_id"), F.element_at("c", 2).alias("title"), F.regexp_extract("id", rf"^{prefix}-([A-Z]+)-", 1).alias("area"),
         F.element_at("c", 3).alias("steps"), F.element_at("c", 4).alias("expected"), F.col("path").alias("source"),
     )
 
