@@ -135,15 +135,15 @@ def literal_value(text: Column) -> Column:
 
 def url_tail(url: Column) -> Column:
     """Last part of a URL, without its query; `servlet:` and `external:` names by their last part."""
-    return F.element_at(F.filter(F.split(F.substring_index(url, "?", 1), "[/:]"), lambda p: p != ""), -1)
+    return F.try_element_at(F.filter(F.split(F.substring_index(url, "?", 1), "[/:]"), lambda p: p != ""), F.lit(-1))
 
 
 def oxford_list(items: Column) -> Column:
     """`a`, `a and b`, `a, b, and c`."""
     n = F.size(items)
     return (
-        F.when(n == 0, "").when(n == 1, F.element_at(items, 1)).when(n == 2, F.array_join(items, " and "))
-        .otherwise(F.concat(F.array_join(F.slice(items, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(", and "), F.element_at(items, -1)))
+        F.when(n == 0, "").when(n == 1, F.try_element_at(items, F.lit(1))).when(n == 2, F.array_join(items, " and "))
+        .otherwise(F.concat(F.array_join(F.slice(items, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(", and "), F.try_element_at(items, F.lit(-1))))
     )
 
 

@@ -107,7 +107,7 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, key: str, doomed: Column) -
     """Nodes without the doomed ones, and edges without those at either end of them."""
     gone = nodes.where(doomed).select(F.col(key).alias("k")).distinct()
     kept = edges.join(gone.withColumnRenamed("k", "src"), "src", "left_anti").join(gone.withColumnRenamed("k", "dst"), "dst", "left_anti")
-    return nodes.where(~F.coalesce(doomed, F.lit(False))), kept
+    return nodes.where(~F.coalesce(doomed, F.lit(False))), kept.select(*edges.columns)
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -41,7 +41,7 @@ def ingest(files: DataFrame, detectors: Sequence[Detector] = ()) -> dict[str, Da
         F.col("name").alias("fqn"), "owner", F.when(F.col("kind") == "constructor", "<init>").otherwise(F.regexp_extract("name", r"\.([^.(]+)\(", 1)).alias("simple"),
         F.col("arity").alias("n_params"), "types", F.col("text").alias("return_type"), "is_static", "start_line", "end_line", "repo_id", "path",
     ).dropDuplicates(["fqn"]))
-    fields = r.where("kind = 'field'").select(F.col("name").alias("fqn"), "owner", F.element_at("types", 1).alias("type"), F.col("text").alias("constant_value"), "is_static").distinct()
+    fields = r.where("kind = 'field'").select(F.col("name").alias("fqn"), "owner", F.try_element_at("types", F.lit(1)).alias("type"), F.col("text").alias("constant_value"), "is_static").distinct()
 
     file = F.concat_ws(":", F.coalesce("repo_id", F.lit("")), "path")
     imports = r.where("kind = 'import' and not is_static").select(file.alias("file"), F.col("name").alias("target")).distinct()
@@ -49,7 +49,7 @@ def ingest(files: DataFrame, detectors: Sequence[Detector] = ()) -> dict[str, Da
     parents = classes.select("fqn", file.alias("file"), "pkg", F.explode(F.concat(F.transform("types", lambda t: F.struct(F.lit("extends").alias("how"), t.alias("name"))), F.transform("interfaces", lambda t: F.struct(F.lit("implements").alias("how"), t.alias("name"))))).alias("p"))
     parents = parents.select("fqn", "file", "pkg", "p.how", "p.name")
     sites = space.put(r.where("kind = 'call'").withColumn("site", F.monotonically_increasing_id()).select(
-        "site", file.alias("file"), "pkg", F.col("owner").alias("src"), F.element_at("types", 1).alias("inside"), "name", "arity", "scope_kind", F.regexp_replace("scope", r"(\[\])+$", "").alias("scope"), "text", F.col("start_line").alias("line"),
+        "site", file.alias("file"), "pkg", F.col("owner").alias("src"), F.try_element_at("types", F.lit(1)).alias("inside"), "name", "arity", "scope_kind", F.regexp_replace("scope", r"(\[\])+$", "").alias("scope"), "text", F.col("start_line").alias("line"),
     ))
     uses = parents.select("file", "pkg", "name").unionByName(sites.where("scope is not null").select("file", "pkg", F.col("scope").alias("name"))).distinct()
     dotted = uses.where(F.col("name").contains(".")).select("file", "name", F.col("name").alias("class_fqn"))

@@ -123,7 +123,7 @@ def table_candidates(wanted: DataFrame, seeds: DataFrame, columns: list[str], ca
 
     A table with more than `cap` classes has none, which is the operator's rule; it comes out with n and no classes.
     """
-    prio = F.element_at(F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))]), F.col("column"))
+    prio = F.try_element_at(F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))]), F.col("column"))
     s = seeds.withColumn("prio", prio).where("prio is not null")
     counted = s.groupBy("table", "column", "prio").agg(F.count_distinct("class_fqn").alias("n"))
     best = wanted.select(F.lower("table").alias("table")).distinct().join(counted, "table").groupBy("table").agg(F.min(F.struct("prio", "column", "n")).alias("b")).select("table", "b.column", "b.n")
@@ -137,11 +137,11 @@ def markdown_cases(texts: DataFrame, prefix: str = "LBF") -> DataFrame:
     Rows need five cells and an id of the form prefix-AREA-NN; separators and headers are skipped; parentheses go from ids.
     """
     rows = texts.where("content is not null").select("path", F.explode(F.split("content", r"\r?\n")).alias("line")).where(F.trim("line").startswith("|"))
-    cells = F.transform(F.slice(F.split(F.trim("line"), r"\|"), 2, 99), F.trim)
-    c = rows.select("path", cells.alias("c")).where(F.size("c") >= 6).withColumn("id", F.regexp_replace(F.element_at("c", 1), r"[()`*]", ""))
+    cells = F.transform(F.slice(F.split(F.trim("line"), r"\|"), 2, 99), lambda c: F.trim(c))
+    c = rows.select("path", cells.alias("c")).where(F.size("c") >= 6).withColumn("id", F.regexp_replace(F.try_element_at("c", F.lit(1)), r"[()`*]", ""))
     return c.where(F.col("id").rlike(rf"^{prefix}-[A-Z]+-\d+$")).select(
-        F.col("id").alias("test_id"), F.element_at("c", 2).alias("title"), F.regexp_extract("id", rf"^{prefix}-([A-Z]+)-", 1).alias("area"),
-        F.element_at("c", 3).alias("steps"), F.element_at("c", 4).alias("expected"), F.col("path").alias("source"),
+        F.col("id").alias("test_id"), F.try_element_at("c", F.lit(2)).alias("title"), F.regexp_extract("id", rf"^{prefix}-([A-Z]+)-", 1).alias("area"),
+        F.try_element_at("c", F.lit(3)).alias("steps"), F.try_element_at("c", F.lit(4)).alias("expected"), F.col("path").alias("source"),
     )
 
 

@@ -83,7 +83,8 @@ def parse_patch(text: str) -> list[FileChange]:
             current = FileChange(_path(parts[0]), _path("b/" + parts[-1]))
             out.append(current)
         elif line.startswith("--- "):
-            if current is None or current.hunks:
+            moved = current and current.change in ("RENAME", "COPY") and _path(line[4:]) != current.old_path
+            if current is None or current.hunks or moved:
                 current = FileChange()
                 out.append(current)
             current.old_path = _path(line[4:])
