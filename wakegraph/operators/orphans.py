@@ -52,6 +52,11 @@ def surviving_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
+def digest(key: Column) -> Column:
+    """What keys are compared by: 128 bits, a fifth of a long name, of which no two names are taken to have the same."""
+    return F.unhex(F.md5(key.cast("string")))
+
+
 def _bitmap(df: DataFrame) -> DataFrame:
     return df.groupBy(F.shiftright("key_id", RANGE_BITS).alias("range"), "month").agg(
         F.bitmap_construct_agg(F.col("key_id").bitwiseAND((1 << RANGE_BITS) - 1)).alias("bits")
@@ -65,14 +70,14 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     if since <= t and (until is null or t < until). Other columns are ignored. References with a null key are no
     references; one with a null time finds no parent and is an orphan. Parents with a null key or a null since never
     hold; parents with until <= since hold at no time. Repeated parent rows count once, repeated references each.
-    Result: ref_id, endpoint, key, at, month (null for a null time).
+    Result: ref_id, endpoint, key (its digest), at, month (null for a null time).
     """
     space = Workspace(references.sparkSession)
-    refs = references.where(F.col("key").isNotNull()).select("ref_id", "endpoint", "key", "at", month_of(F.col("at")).alias("month"))
+    refs = references.where(F.col("key").isNotNull()).select("ref_id", "endpoint", digest(F.col("key")).alias("key"), "at", month_of(F.col("at")).alias("month"))
     dated = refs.where(F.col("at").isNotNull())
     spans = space.put(
         parents.where(F.col("key").isNotNull() & F.col("since").isNotNull() & (F.col("until").isNull() | (F.col("since") < F.col("until"))))
-        .select("key", "since", "until").distinct()
+        .select(digest(F.col("key")).alias("key"), "since", "until").distinct()
     )
     # one row a cell (key, month); a hot key is summed on the map side
     cells = space.put(dated.groupBy("key", "month").agg(F.count(F.lit(1)).alias("n_refs")))
@@ -153,7 +158,7 @@ def call_orphans(edges: DataFrame, methods: DataFrame) -> DataFrame:
 def orphan_report(edges: DataFrame, methods: DataFrame) -> DataFrame:
     """Per table end and month: n_refs, n_orphans and why: n_unknown (no parent row at any time), n_later (recorded
     after the reference), n_removed (the parents before it had all ended)."""
-    known = methods.where(F.col("fqn").isNotNull() & F.col("recorded_at").isNotNull()).groupBy(F.col("fqn").alias("key")).agg(F.min("recorded_at").alias("born"))
+    known = methods.where(F.col("fqn").isNotNull() & F.col("recorded_at").isNotNull()).groupBy(digest(F.col("fqn")).alias("key")).agg(F.min("recorded_at").alias("born"))
     orphans = call_orphans(edges, methods).join(known, "key", "left")
     counted = orphans.groupBy("endpoint", "month").agg(
         F.count(F.lit(1)).alias("n_orphans"),
