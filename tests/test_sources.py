@@ -218,3 +218,34 @@ def test_rules_and_registry(spark):
             config.parse_rules(bad)
     reg = spark.createDataFrame(config.macro_registry('{"p.M": [{"key": "k2", "placeholder": "%b", "column": "NAME"}, {"key": "k1", "column": "name"}], "p.N": [{"key": "z", "column": "ID"}]}'), "macro_class string, macro_key string, placeholder string, db_column string")
     assert [tuple(r) for r in config.keys_of_columns(reg, spark.createDataFrame([("Name",)], "db_column string")).collect()] == [("p.M", "k1,k2")]
+
+
+SCRIPT = """define('m', function (a) {
+  function outer(b, cb) { // {
+    const re = /[{}'"]+\\/x/g.test(b), t = `a ${b} }`;
+    return { inner: function () { return 1; }, short(c) { } };
+  }
+  const arrow = async (x) => {
+    if (x) { go(x); }
+  };
+});
+"""
+
+
+def test_script_functions(spark):
+    from wakegraph.plans.polyglot import js_functions, script_functions
+
+    assert js_functions(SCRIPT) == [("outer", "", 2, 5), ("inner", "outer", 4, 4), ("short", "outer", 4, 4), ("arrow", "", 6, 8)]
+    assert js_functions("function f( {") == [] and js_functions("") == []
+    df = spark.createDataFrame([("a.js", SCRIPT), ("b.js", None), ("c.js", "")], "file string, content string")
+    assert script_functions(df).count() == 4
+
+
+def test_xml_impact(spark):
+    from wakegraph.plans.polyglot import file_lines, xml_columns, xml_impact
+
+    text = "<d>\n<column name='lost'/>\n<table name='T'>\n<column name='a' type='CHAR'/>\n<column name='b'/>\n</table>\n<column name='out'/>\n</d>"
+    cols = xml_columns(file_lines(spark.createDataFrame([("f", text), ("g", None)], "file string, content string")))
+    assert sorted((r.line_no, r.table, r.column, r.data_type) for r in cols.collect()) == [(2, None, "lost", ""), (4, "T", "a", "CHAR"), (5, "T", "b", ""), (7, None, "out", "")]
+    hunks = spark.createDataFrame([("f", 4, 5), ("h", 1, 9)], "file string, h_start int, h_end int")
+    assert sorted(tuple(r) for r in xml_impact(cols, hunks).collect()) == [("f", "T", 2, "MEDIUM"), ("h", "", 0, "LOW")]

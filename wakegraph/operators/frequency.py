@@ -7,6 +7,7 @@ partitions by its values and is pre-aggregated on the map side; the second one m
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,6 +101,6 @@ def heavy_hitters(df: DataFrame, keys: Sequence[str], value: Column, share: floa
         present = present & F.col(f"`{k}`").isNotNull()
     # one row: the total
     return (
-        per_key.where(present).join(F.broadcast(total), F.col("n_rows") >= F.col("__all") * F.lit(share))
+        per_key.where(present).join(F.broadcast(total), F.col("n_rows") >= F.col("__all") * F.lit(Decimal(str(share))))
         .select(*[F.col(f"`{k}`") for k in keys], "n_rows")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakegraph.operators import intervals
-from wakegraph.plans import ingest
+from wakegraph.plans import ingest, polyglot
 from wakegraph.session import table
 from wakegraph.sources import config, patches
 from wakegraph.streaming import jobs
@@ -87,3 +87,54 @@ SELECT DISTINCT "table", upper("column") AS "column", class_fqn FROM p WHERE reg
     "stream_buffer": """SELECT user_id, max(total) AS total, string_agg(event_type, ',' ORDER BY event_id) AS texts
 FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 20 GROUP BY user_id""",
 }
+
+
+def _repo_texts(spark: SparkSession, base: str, extension: str) -> DataFrame:
+    files = table(spark, base, "repo_files").where(f"content is not null and lower(path) like '%.{extension}'")
+    return files.select(F.concat_ws(":", "repo_id", "path").alias("file"), "content").distinct()
+
+
+def xml_columns(spark: SparkSession, base: str) -> DataFrame:
+    """Columns of the XML files with the table around them."""
+    return polyglot.xml_columns(polyglot.file_lines(_repo_texts(spark, base, "xml")))
+
+
+def script_functions(spark: SparkSession, base: str) -> DataFrame:
+    """Named functions of the JavaScript files."""
+    return polyglot.script_functions(_repo_texts(spark, base, "js"))
+
+
+def owner_facts(spark: SparkSession, base: str) -> DataFrame:
+    """Classes with their methods, parents and callers' repositories, a list each."""
+    m = table(spark, base, "method_nodes").where("owner_fqn is not null and simple_name is not null")
+    e = table(spark, base, "extends_edges").where("from_class_fqn is not null and to_class_fqn is not null")
+    c = table(spark, base, "call_edges").where("to_method_fqn is not null and repo_id is not null")
+    owner = F.regexp_extract("to_method_fqn", r"^(.*)\.([^.(]+)\([^()]*\)$", 1)
+    return polyglot.owner_facts(m.select(F.col("owner_fqn").alias("owner")), {
+        "methods": m.select(F.col("owner_fqn").alias("owner"), F.col("simple_name").alias("value")), "parents": e.select(F.col("from_class_fqn").alias("owner"), F.col("to_class_fqn").alias("value")),
+        "caller_repos": c.select(owner.alias("owner"), F.col("repo_id").alias("value")).distinct(),
+    })
+
+
+def feature_pivot(spark: SparkSession, base: str) -> DataFrame:
+    """Calls and callers by kind, with totals."""
+    c = table(spark, base, "call_edges").groupBy("kind", F.col("repo_id").alias("owner")).agg(F.count(F.lit(1)).alias("n"))
+    return polyglot.feature_pivot(c)
+
+
+QUERIES |= {f.__name__: f for f in (xml_columns, script_functions, owner_facts, feature_pivot)}
+
+SQL |= {
+    "xml_columns": r"""WITH f AS (SELECT DISTINCT concat_ws(':', repo_id, path) AS file, content FROM repo_files WHERE content IS NOT NULL AND lower(path) LIKE '%.xml'),
+l AS (SELECT file, unnest(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10))) AS text, generate_subscripts(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)), 1) AS line_no FROM f),
+m AS (SELECT *, CASE WHEN regexp_extract(text, '<table\b[^<>]*?\bname\s*=\s*["'']([^"''<>]*)["'']', 1) <> '' THEN regexp_extract(text, '<table\b[^<>]*?\bname\s*=\s*["'']([^"''<>]*)["'']', 1) WHEN contains(text, '</table') THEN '' END AS mark FROM l),
+c AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS t, regexp_extract(text, '<column\b[^<>]*?\bname\s*=\s*["'']([^"''<>]*)["'']', 1) AS col FROM m)
+SELECT file, line_no, CASE WHEN t <> '' THEN t END AS "table", col AS "column", regexp_extract(text, '<column\b[^<>]*?\btype\s*=\s*["'']([^"''<>]*)["'']', 1) AS data_type FROM c WHERE col <> ''""",
+    "owner_facts": r"""WITH o AS (SELECT DISTINCT owner_fqn AS owner FROM method_nodes WHERE owner_fqn IS NOT NULL AND simple_name IS NOT NULL),
+m AS (SELECT owner_fqn AS owner, string_agg(DISTINCT simple_name, ',' ORDER BY simple_name) AS methods FROM method_nodes WHERE owner_fqn IS NOT NULL GROUP BY 1),
+p AS (SELECT from_class_fqn AS owner, string_agg(DISTINCT to_class_fqn, ',' ORDER BY to_class_fqn) AS parents FROM extends_edges WHERE from_class_fqn IS NOT NULL AND to_class_fqn IS NOT NULL GROUP BY 1),
+c AS (SELECT regexp_extract(to_method_fqn, '^(.*)\.([^.(]+)\([^()]*\)$', 1) AS owner, string_agg(DISTINCT repo_id, ',' ORDER BY repo_id) AS caller_repos FROM call_edges WHERE to_method_fqn IS NOT NULL AND repo_id IS NOT NULL GROUP BY 1)
+SELECT owner, coalesce(methods, '') AS methods, coalesce(parents, '') AS parents, coalesce(caller_repos, '') AS caller_repos FROM o LEFT JOIN m USING (owner) LEFT JOIN p USING (owner) LEFT JOIN c USING (owner)""",
+    "feature_pivot": """SELECT coalesce(kind, 'none') AS kind, count(DISTINCT repo_id) AS n_owners, count(*) AS total FROM call_edges GROUP BY 1
+UNION ALL SELECT 'all', count(DISTINCT repo_id), count(*) FROM call_edges""",
+}
