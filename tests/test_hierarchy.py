@@ -69,6 +69,20 @@ def test_no_links_and_single_links(spark):
     assert {(r.node, r.root, r.depth) for r in h.paths().collect()} == {("a/b", "b", 1), ("b", "b", 0)}
 
 
+def test_between_cycles(spark):
+    """A node of least name on the way from one cycle to another is on none."""
+    pairs = [("m", "n"), ("n", "m"), ("n", "a"), ("a", "x"), ("x", "y"), ("y", "x"), ("y", "b"), ("b", "b"), ("b", "c"), ("c", "p"), ("p", "c")]
+    assert {r.node: r.cycle for r in cycles(frame(spark, pairs)).collect()} == {"m": "m", "n": "m", "x": "x", "y": "x", "b": "b", "c": "c", "p": "c"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cycles_of_random_graphs(spark, seed):
+    random.seed(100 + seed)
+    pairs = [(f"n{random.randrange(30)}", f"n{random.randrange(30)}") for _ in range(36)]
+    up = reach(pairs)
+    assert {r.node: r.cycle for r in cycles(frame(spark, pairs)).collect()} == {n: min(m for m in up[n] if n in up[m]) for n in up if n in up[n]}
+
+
 def test_only_a_cycle(spark):
     h = Hierarchy(frame(spark, [("a", "b"), ("b", "c"), ("c", "a")]))
     assert {r.node: r.cycle for r in h.cycles.collect()} == dict.fromkeys("abc", "a")

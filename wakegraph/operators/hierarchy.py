@@ -98,7 +98,11 @@ def components(space: Workspace, edges: DataFrame) -> DataFrame:
         )
         back = least_reaching(space, inner.select(F.col("parent").alias("child"), F.col("child").alias("parent")))
         part = space.put(colour.join(back.withColumnRenamed("least", "reaches"), "node").where("least = reaches").select("node", F.col("least").alias("part")))
-        done = part if done is None else done.unionByName(part)
+        # a node between cycles is a part of its own, but on a cycle only if it links to itself
+        loops = left.where("child = parent").select(F.col("child").alias("node"), F.lit(True).alias("loop"))
+        sizes = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        on_cycle = space.put(part.join(sizes, "part").join(loops, "node", "left").where("n > 1 or loop").select("node", "part"))
+        done = on_cycle if done is None else done.unionByName(on_cycle)
         taken = part.select("node")
         rest = space.put(
             left.join(taken.withColumnRenamed("node", "child"), "child", "left_anti").join(taken.withColumnRenamed("node", "parent"), "parent", "left_anti")
