@@ -153,6 +153,23 @@ def rekey_constants(g: Graph) -> DataFrame:
     return merge.rekey_unique(edges, constants, [".MessageConstants"])
 
 
+@query(
+    """WITH e AS (SELECT DISTINCT o_orderkey AS src, CAST(o_custkey AS VARCHAR) AS dst FROM orders),
+p AS (SELECT *, 'p' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '.MessageConstants' ELSE '.OtherConstants' END AS o FROM part),
+k AS (SELECT o, p_brand AS n, CAST(p_partkey AS VARCHAR) AS v FROM p UNION ALL SELECT o, p_type, CAST(p_size AS VARCHAR) FROM p),
+t AS (SELECT v, CASE WHEN ends_with(o, '.MessageConstants') THEN 1 ELSE 2 END AS tier, count(DISTINCT o || '.' || n) AS c, min(o || '.' || n) AS target FROM k GROUP BY ALL),
+b AS (SELECT v, target, c FROM t QUALIFY tier = min(tier) OVER (PARTITION BY v))
+SELECT DISTINCT src, coalesce(target, dst) AS dst FROM e LEFT JOIN (SELECT v, target FROM b WHERE c = 1) ON v = dst"""
+)
+def rekey_constants_whole(g: Graph) -> DataFrame:
+    """As rekey_constants, over every part and customer: a part's key is a constant's value, its size that of many."""
+    edges = g.table("orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").cast("string").alias("dst")).distinct()
+    owner = F.concat(F.lit("p"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, ".MessageConstants").otherwise(".OtherConstants"))
+    by_key = g.table("part").select(owner.alias("owner"), F.col("p_brand").alias("name"), F.col("p_partkey").cast("string").alias("value"))
+    by_size = g.table("part").select(owner.alias("owner"), F.col("p_type").alias("name"), F.col("p_size").cast("string").alias("value"))
+    return merge.rekey_unique(edges, by_key.unionByName(by_size), [".MessageConstants"])
+
+
 @query(
     _with(METHODS, CALLS, LINKS, ANCESTORS)
     + """, typed AS (SELECT fqn, owner, simple, string_split(regexp_extract(fqn, '\\((.*)\\)$', 1), ',') AS types FROM methods WHERE n_params IS NOT NULL AND simple <> '<init>')
