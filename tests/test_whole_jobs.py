@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.harness import DATA
+from wakegraph.plans import tagging
 from wakegraph.queries import all_queries
 
 BASE = f"{DATA}/sf0.001"
@@ -19,3 +20,11 @@ def test_rekeying_takes_every_part_and_meets_both_branches(spark):
     assert unique.where("o_custkey % 7 >= 2").count() > 0
     sizes = spark.read.parquet(f"{BASE}/part.parquet").select(F.col("p_size").alias("o_custkey")).distinct()
     assert moved.where("dst = cast(o_custkey as string)").join(sizes, "o_custkey").count() > 0
+
+
+def test_urls_are_found_anywhere_in_a_text(spark):
+    texts = {1: "open p.Shop now", 2: "go to user-list", 3: "press Save.do", 4: "the renamedOrders", 5: "at /x/do it", 6: None, 7: "x.do /x/d o", 8: "p.$hop"}
+    t = spark.createDataFrame(list(texts.items()), "test_id int, text string")
+    u = spark.createDataFrame([(x,) for x in ("servlet:p.Shop", "/a/user-list", "/a/save.do", "/m/orders", "/x/do", "/b/shop/", "servlet:p.$hop", "servlet:a.b", None)], "url string")
+    got = {(r.test_id, r.key) for r in tagging.url_substring_tags(t, u).collect()}
+    assert got == {(1, "servlet:p.Shop"), (1, "/b/shop/"), (2, "/a/user-list"), (3, "/a/save.do"), (4, "/m/orders"), (5, "/x/do"), (8, "servlet:p.$hop")}

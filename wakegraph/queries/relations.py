@@ -596,6 +596,18 @@ def url_fragment_tagging(g: Graph) -> DataFrame:
     return tagging.url_tags(tagging.test_cases(g.table("documents")), g.method_urls.select("url").unionByName(pages).distinct())
 
 
+@query(
+    _with(METHODS, LINKS, URLS, _TESTS)
+    + """, pages AS (SELECT url FROM method_urls UNION SELECT url FROM class_urls UNION SELECT '/page/' || lower(split_part(owner, '.', -1)) FROM methods WHERE owner IS NOT NULL),
+fragments AS (SELECT url, lower(regexp_replace(url, '^servlet:', '')) AS fragment FROM pages UNION SELECT url, lower(regexp_extract(split_part(url, '?', 1), '([^/:]+)[/:]*$', 1)) FROM pages)
+SELECT DISTINCT test_id, 'URL' AS kind, url AS key, 0.6::DOUBLE AS confidence FROM tests JOIN fragments ON length(fragment) >= 4 AND contains(lower(text), fragment)"""
+)
+def url_substring_tagging(g: Graph) -> DataFrame:
+    """Texts tagged with the URLs of methods and classes, and of one page a class, that they have anywhere."""
+    pages = g.methods.where("owner is not null").select(F.concat(F.lit("/page/"), F.lower(names.simple_name(F.col("owner")))).alias("url"))
+    return tagging.url_substring_tags(tagging.test_cases(g.table("documents")), g.method_urls.select("url").unionByName(g.class_urls.select("url")).unionByName(pages).distinct())
+
+
 @query(
     r"""SELECT doc_id, len(regexp_extract_all(text, '(?m)^@@ [^@\n]*@@')) AS n_hunks, len(regexp_extract_all(text, '(?m)^diff --git ')) AS n_files,
 len(regexp_extract_all(text, '(?m)^\+(?:[^+\n]|$)')) AS n_added FROM documents WHERE doc_kind = 'patch' AND text IS NOT NULL"""
