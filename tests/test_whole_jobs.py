@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.harness import DATA
+from wakegraph.operators.traverse import closure
 from wakegraph.plans import tagging
 from wakegraph.queries import all_queries
 
@@ -28,3 +29,12 @@ def test_urls_are_found_anywhere_in_a_text(spark):
     u = spark.createDataFrame([(x,) for x in ("servlet:p.Shop", "/a/user-list", "/a/save.do", "/m/orders", "/x/do", "/b/shop/", "servlet:p.$hop", "servlet:a.b", None)], "url string")
     got = {(r.test_id, r.key) for r in tagging.url_substring_tags(t, u).collect()}
     assert got == {(1, "servlet:p.Shop"), (1, "/b/shop/"), (2, "/a/user-list"), (3, "/a/save.do"), (4, "/m/orders"), (5, "/x/do"), (8, "servlet:p.$hop")}
+
+
+def test_closure_has_no_bound(spark):
+    n = 300
+    links = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(n)], "child string, parent string")
+    got = {(r.child, r.ancestor): r.depth for r in closure(links).collect()}
+    assert got == {(f"c{i}", f"c{j}"): j - i for i in range(n) for j in range(i + 1, n + 1)}
+    ring = links.unionByName(spark.createDataFrame([(f"c{n}", "c0")], links.schema))
+    assert closure(ring).groupBy().agg(F.count("*").alias("n"), F.max("depth").alias("d")).first() == ((n + 1) ** 2, n + 1)

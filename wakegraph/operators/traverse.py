@@ -80,17 +80,16 @@ def shortest_chains(pairs: DataFrame, edges: DataFrame, max_hops: int) -> DataFr
     return chains.select("src", "dst", "length", "chain")
 
 
-def closure(links: DataFrame, depth: int = 128) -> DataFrame:
+def closure(links: DataFrame) -> DataFrame:
     """(child, ancestor, depth) over (child, parent) links, cycle-safe, each pair with its least depth.
 
     Depths double: a shortest way of k + r steps leads in k steps to a node at exactly that depth, and on from there in
-    r <= k, so each round joins the pairs at depth k with all that are known. Ancestors further than `depth` links
-    away, rounded up to a power of two, are left out.
+    r <= k, so each round joins the pairs at depth k with all that are known. The rounds end when one adds nothing.
     """
     space = Workspace(links.sparkSession)
     known = space.put(links.select("child", F.col("parent").alias("ancestor")).where("child is not null and ancestor is not null").distinct().withColumn("depth", F.lit(1)))
     k = 1
-    while k < depth:
+    while True:
         half = known.where(F.col("depth") == k).select("child", F.col("ancestor").alias("mid"))
         rest = known.select(F.col("child").alias("mid"), "ancestor", F.col("depth").alias("r"))
         reached = half.join(rest, "mid").groupBy("child", "ancestor").agg((F.min("r") + k).alias("depth"))
