@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.harness import DATA
+from wakegraph.operators import merge
 from wakegraph.operators.traverse import closure
 from wakegraph.plans import tagging
 from wakegraph.queries import all_queries
@@ -38,3 +39,13 @@ def test_closure_has_no_bound(spark):
     assert got == {(f"c{i}", f"c{j}"): j - i for i in range(n) for j in range(i + 1, n + 1)}
     ring = links.unionByName(spark.createDataFrame([(f"c{n}", "c0")], links.schema))
     assert closure(ring).groupBy().agg(F.count("*").alias("n"), F.max("depth").alias("d")).first() == ((n + 1) ** 2, n + 1)
+
+
+def test_rules_on_bare_methods_reach_all_overloads(spark):
+    covers = spark.createDataFrame([("t", "METHOD", "a.B.c()", 0.8), ("t", "METHOD", "a.B.c(int)", 0.8), ("t", "METHOD", "a.B.cc()", 0.8), ("t", "FILE", "a.B.c()", 0.6)], "test_id string, kind string, key string, confidence double")
+    rules = [(1, "t", "remove", "METHOD", "a.B.c"), (2, "t", "add", "METHOD", "a.B.c(int)"), (3, "u", "add", "METHOD", "a.B.c()"), (4, "u", "remove", "METHOD", "a.B.c"), (5, "u", "add", "METHOD", "a.B.gone"), (6, "t", "add", "FILE", "a.B.c")]
+    r = spark.createDataFrame(rules, "ord int, test_id string, op string, kind string, key string")
+    m = spark.createDataFrame([("a.B.c()",), ("a.B.c(int)",), ("a.B.cc()",), (None,)], "fqn string")
+    assert {tuple(x) for x in merge.apply_rules(covers, r, m).collect()} == {
+        ("t", "METHOD", "a.B.c(int)", 1.0), ("t", "METHOD", "a.B.cc()", 0.8), ("t", "FILE", "a.B.c()", 0.6), ("t", "FILE", "a.B.c", 1.0), ("u", "METHOD", "a.B.gone", 1.0),
+    }

@@ -115,12 +115,26 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
-def apply_rules(covers: DataFrame, rules: DataFrame) -> DataFrame:
+def expand_rules(rules: DataFrame, methods: DataFrame) -> DataFrame:
+    """Rules (ord, test_id, op, kind, key) with METHOD keys without parameters replaced by all overloads among methods (fqn).
+
+    The overloads keep the rule's ord. Keys without an overload, and rules of other kinds, stay as they are.
+    """
+    bare = F.when((F.col("kind") == "METHOD") & ~F.col("key").contains("("), F.col("key"))
+    overloads = methods.where(F.col("fqn").contains("(")).select(F.substring_index("fqn", "(", 1).alias("__bare"), "fqn").distinct()
+    joined = rules.withColumn("__bare", bare).join(overloads, "__bare", "left")
+    return joined.withColumn("key", F.coalesce("fqn", "key")).select(*rules.columns)
+
+
+def apply_rules(covers: DataFrame, rules: DataFrame, methods: DataFrame | None = None) -> DataFrame:
     """Covers (test_id, kind, key, confidence) after rules (ord, test_id, op, kind, key), the last rule of a key winning.
 
-    add gives confidence 1.0, remove takes the row away; rules of other ops are ignored.
+    add gives confidence 1.0, remove takes the row away; rules of other ops are ignored. With methods (fqn), METHOD
+    rules without parameters hold for all overloads.
     """
     keys = ["test_id", "kind", "key"]
+    if methods is not None:
+        rules = expand_rules(rules, methods)
     last = rules.where(F.col("op").isin("add", "remove")).groupBy(*keys).agg(F.max_by("op", "ord").alias("op"))
     c = covers.groupBy(*keys).agg(F.max("confidence").alias("confidence"))
     joined = c.join(last, keys, "full_outer")

@@ -9,7 +9,7 @@ from wakegraph.functions import names
 from wakegraph.operators import intervals, merge, resolve
 from wakegraph.plans import tagging
 from wakegraph.plans.graph import ACTION_BASE, TASK_BASE, Graph
-from wakegraph.queries.impact import ANCESTORS, CALLS, INPUTS, LINKS, METHODS, URLS, _with
+from wakegraph.queries.impact import ANCESTORS, CALLS, COVERS, INPUTS, LINKS, METHODS, URLS, _with
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -252,6 +252,25 @@ def glossary_apply(g: Graph) -> DataFrame:
     return merge.apply_rules(covers, rules)
 
 
+@query(
+    _with(METHODS, COVERS)
+    + """, rules AS (SELECT symbol_id AS ord, patch_id % 50 AS test_id, CASE WHEN symbol_id % 3 = 0 THEN 'remove' ELSE 'add' END AS op, 'METHOD' AS kind, split_part(fqn, '(', 1) AS key
+  FROM changed_symbols WHERE kind = 'METHOD' AND fqn IS NOT NULL),
+expanded AS (SELECT ord, test_id, op, kind, coalesce(m.fqn, r.key) AS key FROM rules r LEFT JOIN methods m ON starts_with(m.fqn, r.key || '(')),
+known AS (SELECT DISTINCT test_id % 50 AS test_id, kind, key, confidence FROM covers),
+last AS (SELECT test_id, kind, key, arg_max(op, ord) AS op FROM expanded GROUP BY ALL)
+SELECT coalesce(c.test_id, l.test_id) AS test_id, coalesce(c.kind, l.kind) AS kind, coalesce(c.key, l.key) AS key, CASE WHEN op = 'add' THEN 1.0 ELSE confidence END AS confidence
+FROM known c FULL JOIN last l ON c.test_id = l.test_id AND c.kind = l.kind AND c.key = l.key WHERE op IS NULL OR op = 'add'"""
+)
+def glossary_methods(g: Graph) -> DataFrame:
+    """Rules on changed methods without their parameters, for all overloads, applied in order to the covers of the tests."""
+    rules = g.table("changed_symbols").where("kind = 'METHOD' and fqn is not null").select(
+        F.col("symbol_id").alias("ord"), (F.col("patch_id") % 50).alias("test_id"), F.when(F.col("symbol_id") % 3 == 0, "remove").otherwise("add").alias("op"), F.lit("METHOD").alias("kind"), F.substring_index("fqn", "(", 1).alias("key")
+    )
+    covers = tagging.covers_of(g).withColumn("test_id", F.col("test_id") % 50).distinct()
+    return merge.apply_rules(covers, rules, g.methods)
+
+
 # --- joins --------------------------------------------------------------------------------------------------------
 
 
