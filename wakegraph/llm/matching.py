@@ -3,8 +3,8 @@
 The diff side and the graph side write the same method in different ways. Both writings are taken apart into package,
 class, method and parameter types. Candidates agree in the class and nearly in the method: they share a spelling with
 at most one letter left out. Each candidate pair gets log odds from its partial, noisy attributes; one-to-one factors
-(a symbol means at most one method; a method is meant by one symbol of a patch, by more only with small odds) then
-exchange messages with the pairs until they stand still, and give each pair its marginal probability.
+(a symbol means at most one method; a method is meant by one symbol of a patch, file and line, by more only with small
+odds) then exchange messages with the pairs until they stand still, and give each pair its marginal probability.
 """
 
 from __future__ import annotations
@@ -209,7 +209,7 @@ def _keys(parsed) -> list[str]:
 
 
 def candidates(symbols: DataFrame, methods: DataFrame) -> DataFrame:
-    """(symbol_id, patch_id, method_fqn, score) of all pairs that no attribute rules out."""
+    """(symbol_id, patch_id, file_path, start_line, method_fqn, score) of all pairs that no attribute rules out."""
 
     def symbol_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,13 +260,11 @@ def candidates(symbols: DataFrame, methods: DataFrame) -> DataFrame:
             for fqn, method, path, s, e, s1, e1, s2, e2 in zip(*columns):
                 spans = {(a, b) for a, b in ((s1, e1), (s2, e2)) if a is not None}
                 got.append(log_odds(read(fqn), read(method), path, (s, e), spans))
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("symbol_id"), batch.column("patch_id"), batch.column("method_fqn"), pa.array(got, pa.float64())],
-                names=["symbol_id", "patch_id", "method_fqn", "score"],
-            )
+            same = ["symbol_id", "patch_id", "file_path", "start_line", "method_fqn"]
+            out = pa.RecordBatch.from_arrays([*map(batch.column, same), pa.array(got, pa.float64())], names=[*same, "score"])
             yield out.filter(pa.array([g is not None for g in got], pa.bool_()))
 
-    return pairs.mapInArrow(score, f"symbol_id {kinds['symbol_id']}, patch_id {kinds['patch_id']}, method_fqn string, score double")
+    return pairs.mapInArrow(score, f"symbol_id {kinds['symbol_id']}, patch_id {kinds['patch_id']}, file_path {kinds['file_path']}, start_line int, method_fqn string, score double")
 
 
 def propagate(pairs: DataFrame) -> DataFrame:
@@ -303,11 +301,11 @@ def match_symbols(symbols: DataFrame, methods: DataFrame, threshold: float = THR
     symbols: symbol_id, patch_id, fqn, kind, file_path, start_line, end_line; methods: fqn, start_line, end_line,
     recorded_at; other columns are ignored. A symbol's method is its most probable candidate if the probability is at
     least `threshold`, the least name among equals. Rows of one patch that name the same lines may be the same method
-    twice, so a method is one place for each patch and starting line. Rows with a null fqn have no method.
+    twice, so a method is one place for each patch, file and starting line. Rows with a null fqn have no method.
     """
     space = Workspace(symbols.sparkSession)
     found = candidates(symbols, methods)
-    place = F.concat_ws("\t", F.coalesce(F.col("patch_id").cast("string"), F.lit("")), "method_fqn")
+    place = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("patch_id", "start_line", "file_path")], "method_fqn")
     pairs = space.put(found.select(F.col("symbol_id").alias("symbol"), place.alias("place"), "score", "method_fqn"))
     believed = propagate(pairs)
     best = believed.groupBy(F.col("symbol").alias("symbol_id")).agg(F.min_by(F.struct("method_fqn", "belief"), F.struct(-F.round("belief", 9), "method_fqn")).alias("m"))
