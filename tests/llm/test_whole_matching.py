@@ -1,4 +1,7 @@
-from tests.llm.test_matching import METHOD_ROWS, matched
+from datetime import datetime
+
+from tests.llm.test_matching import METHOD_ROWS, METHODS, SYMBOLS, matched
+from wakegraph.llm import matching
 
 
 def test_rows_of_other_lines_or_files_are_no_rivals(spark):
@@ -8,3 +11,12 @@ def test_rows_of_other_lines_or_files_are_no_rivals(spark):
         (3, 8, inner, "METHOD", "a/Outer.java", None, None), (4, 8, "io.x.Outer.Inner.clsoe(..)", "METHOD", "b/Outer.java", None, None),
     ]
     assert {i: m for i, (m, _) in matched(spark, symbols, METHOD_ROWS).items()} == dict.fromkeys([1, 2, 3, 4], inner)
+
+
+def test_all_lines_of_a_method_are_evidence(spark):
+    rows = [("io.x.Shop.sell(int)", a, a + 9, datetime(2024, 1, d), "k") for d, a in ((1, 10), (2, 500), (3, 900))] + [("io.x.Shop.sell(long)", 100, 130, datetime(2024, 1, 1), "k")]
+    s = spark.createDataFrame([(1, 1, "Shop.sell(..)", "METHOD", None, 500, 509, "k", 1)], SYMBOLS)
+    scores = {r.method_fqn: r.score for r in matching.candidates(s, spark.createDataFrame(rows, METHODS)).collect()}
+    assert scores["io.x.Shop.sell(int)"] - scores["io.x.Shop.sell(long)"] == 5.0
+    none = matching.candidates(s, spark.createDataFrame([("io.x.Shop.sell(int)", None, None, None, "k")], METHODS)).first()
+    assert none.score == scores["io.x.Shop.sell(int)"] - 4.0

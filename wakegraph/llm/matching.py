@@ -236,12 +236,12 @@ def candidates(symbols: DataFrame, methods: DataFrame) -> DataFrame:
         "symbol_id", "patch_id", "fqn", "file_path", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line")
     )
     kinds = {f.name: f.dataType.simpleString() for f in wanted.schema}
-    first, last = F.struct("start_line", "end_line"), F.struct("recorded_at", "start_line", "end_line")
+    lines = F.struct(F.col("start_line").cast("int").alias("s"), F.col("end_line").cast("int").alias("e"))
     known = methods.where(F.col("fqn").isNotNull() & ~F.col("fqn").endswith("(?)")).groupBy(F.col("fqn").alias("method_fqn")).agg(
-        F.min_by(first, last).alias("a"), F.max_by(first, last).alias("b")
-    ).select("method_fqn", F.col("a.start_line").alias("s1"), F.col("a.end_line").alias("e1"), F.col("b.start_line").alias("s2"), F.col("b.end_line").alias("e2"))
+        F.collect_set(F.when(F.col("start_line").isNotNull(), lines)).alias("spans")
+    )
     left = wanted.mapInArrow(symbol_keys, "key string, " + ", ".join(f"{n} {k}" for n, k in kinds.items()))
-    right = known.mapInArrow(method_keys, "key string, method_fqn string, s1 int, e1 int, s2 int, e2 int")
+    right = known.mapInArrow(method_keys, "key string, method_fqn string, spans array<struct<s: int, e: int>>")
     pairs = left.join(right, "key").drop("key").dropDuplicates(["symbol_id", "method_fqn"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,10 +256,9 @@ def candidates(symbols: DataFrame, methods: DataFrame) -> DataFrame:
 
         for batch in batches:
             got = []
-            columns = [batch.column(n).to_pylist() for n in ("fqn", "method_fqn", "file_path", "start_line", "end_line", "s1", "e1", "s2", "e2")]
-            for fqn, method, path, s, e, s1, e1, s2, e2 in zip(*columns):
-                spans = {(a, b) for a, b in ((s1, e1), (s2, e2)) if a is not None}
-                got.append(log_odds(read(fqn), read(method), path, (s, e), spans))
+            columns = [batch.column(n).to_pylist() for n in ("fqn", "method_fqn", "file_path", "start_line", "end_line", "spans")]
+            for fqn, method, path, s, e, spans in zip(*columns):
+                got.append(log_odds(read(fqn), read(method), path, (s, e), {(x["s"], x["e"]) for x in spans}))
             same = ["symbol_id", "patch_id", "file_path", "start_line", "method_fqn"]
             out = pa.RecordBatch.from_arrays([*map(batch.column, same), pa.array(got, pa.float64())], names=[*same, "score"])
             yield out.filter(pa.array([g is not None for g in got], pa.bool_()))
