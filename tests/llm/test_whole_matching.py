@@ -20,3 +20,9 @@ def test_all_lines_of_a_method_are_evidence(spark):
     assert scores["io.x.Shop.sell(int)"] - scores["io.x.Shop.sell(long)"] == 5.0
     none = matching.candidates(s, spark.createDataFrame([("io.x.Shop.sell(int)", None, None, None, "k")], METHODS)).first()
     assert none.score == scores["io.x.Shop.sell(int)"] - 4.0
+
+
+def test_names_cut_off_early_have_candidates(spark):
+    s = spark.createDataFrame([(i, i, f, "METHOD", None, None, None, "k", 1) for i, f in enumerate(("io.x.Shop.s…", "io.x.Shop.se...", "io.x.Shop.sel…", "io.x.Shop.sell…", "io.x.Shop.selle…", "io.x.Shop._…", "io.x.Shop.b…"))], SYMBOLS)
+    got = {(r.symbol_id, r.method_fqn) for r in matching.candidates(s, spark.createDataFrame([("io.x.Shop.sellAll(int)", 1, 2, None, "k"), ("io.x.Shop.go()", 1, 2, None, "k")], METHODS)).collect()}
+    assert got == {(i, "io.x.Shop.sellAll(int)") for i in (0, 1, 2, 3, 5)} | {(5, "io.x.Shop.go()")}

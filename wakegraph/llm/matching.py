@@ -226,7 +226,8 @@ def candidates(symbols: DataFrame, methods: DataFrame) -> DataFrame:
             index, keys = [], []
             for i, fqn in enumerate(batch.column(0).to_pylist()):
                 parsed = read_name(fqn)
-                own = [*_keys(parsed), f"{parsed[1]}\t^{plain(parsed[2])[:4]}"]
+                short = {plain(parsed[2])[:n] for n in range(5)}  # a symbol's name may be cut off anywhere
+                own = [*_keys(parsed), *(f"{parsed[1]}\t^{x}" for x in short)]
                 index += [i] * len(own)
                 keys += own
             at = pa.array(index, pa.int64())
