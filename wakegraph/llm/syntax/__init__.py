@@ -11,7 +11,8 @@ from wakegraph.llm.syntax.common import SyntaxFault
 from wakegraph.llm.syntax.ecma import check_script
 from wakegraph.llm.syntax.java import check_java
 
-MAX_FRAMES = 150_000  # of Python; nesting beyond counts as not parsed
+FRAMES = 150_000  # of Python, for what lies above and for short texts
+FRAMES_A_LETTER = 200  # no rule goes deeper without taking a letter, so that no text reaches the limit
 
 
 def check_xml(text: str) -> None:
@@ -87,11 +88,11 @@ CHECKS = {"java": check_java, "xml": check_xml, "json": check_json, "js": check_
 def parses(language: str, text: str) -> bool:
     """Whether the whole text is in the language."""
     before = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(before, MAX_FRAMES))
+    sys.setrecursionlimit(min(2**31 - 1, max(before, FRAMES + FRAMES_A_LETTER * len(text))))
     try:
         CHECKS[language](text)
         return True
-    except (SyntaxFault, RecursionError):
+    except SyntaxFault:
         return False
     finally:
         sys.setrecursionlimit(before)
