@@ -1,9 +1,14 @@
+import collections
+import itertools
 import math
+import os
+import random
 
 import numpy as np
 import pytest
 
-from wakegraph.llm import mixing
+from tests.harness import DATA
+from wakegraph.llm import mixing, tokens
 
 DOCS = "doc_id long, source string, n_tokens long, mix_id int, draw int"
 TARGETS = "mix_id string, source string, target_share double, max_repeats int, tokens int"
@@ -62,3 +67,71 @@ def test_nothing(spark):
     assert chosen.count() == 0
     assert [(r.actual_tokens, r.actual_share, r.short) for r in report.collect()] == [(0, None, False)]
     assert mixing.mixture(*frames(spark, [(1, "a", 5)], []))[0].count() == 0
+
+
+def levels_by_search(tokens, target, limit):
+    """Water-filling by trying every set of sources that give all they may: the others share what is left."""
+    n, size, found = len(tokens), sum(tokens), []
+    for capped in itertools.product([False, True], repeat=n):
+        plan = [t * m if c else 0.0 for t, m, c in zip(tokens, limit, capped)]
+        left, rest = size - sum(plan), sum(q for q, c in zip(target, capped) if not c)
+        if rest:
+            plan = [p if c else left * q / rest for p, q, c in zip(plan, target, capped)]
+        full = all(p <= t * m + 1e-6 for p, t, m in zip(plan, tokens, limit))
+        needed = all(not c or (not rest or left * q / rest >= t * m - 1e-6) for t, m, q, c in zip(tokens, limit, target, capped))
+        if full and needed:
+            found.append(plan)
+    return found
+
+
+def test_sources_that_cannot_reach_their_target_do_not_move_the_others():
+    draw = random.Random(4)
+    for _ in range(200):
+        n = draw.randrange(1, 6)
+        tokens, limit = [float(draw.randrange(0, 4000)) for _ in range(n)], [float(draw.randrange(0, 5)) for _ in range(n)]
+        target = [draw.random() for _ in range(n)]
+        target = [q / sum(target) for q in target]
+        exponent, planned = mixing.fill(np.array(tokens), np.array(target), np.array(limit))
+        assert any(np.allclose(planned, want, atol=1e-3) for want in levels_by_search(tokens, target, limit))
+        free = [i for i in range(n) if exponent[i] == 1.0]
+        assert all(math.isclose(planned[i] * target[j], planned[j] * target[i], rel_tol=1e-9, abs_tol=1e-6) for i in free for j in free)
+        if free:
+            assert math.isclose(planned.sum(), sum(tokens), rel_tol=1e-9)
+        assert all(math.isclose(planned[i], tokens[i] * limit[i], rel_tol=1e-9) for i in range(n) if exponent[i] < 1.0)
+
+
+def test_one_row_without_repeats_concerns_itself_only(spark):
+    docs = [(i, "abc"[i % 3], 10) for i in range(300)]
+    targets = [("m", "a", 0.5, 3), ("m", "b", 0.25, 3), ("m", "c", 0.25, None), ("n", "a", 0.5, 3), ("n", "b", 0.4, 3), ("n", "c", 0.1, 0), ("n", "a", 0.1, 1)]
+    rows = {(r.mix_id, r.source, r.target_share): r for r in mixing.mixture(*frames(spark, docs, targets))[1].collect()}
+    assert rows["m", "c", 0.25].actual_tokens == 0 and rows["n", "c", 0.1].actual_tokens == 0 and rows["n", "a", 0.1].budget == 0
+    assert [round(rows[k].actual_share, 2) for k in (("m", "a", 0.5), ("m", "b", 0.25), ("n", "a", 0.5), ("n", "b", 0.4))] == [0.67, 0.33, 0.56, 0.44]
+
+
+@pytest.mark.skipif(not os.path.isdir(f"{DATA}/sf0.01"), reason="no test tables here")
+def test_mixes_of_the_tables_reach_their_targets(spark):
+    base = f"{DATA}/sf0.01"
+    docs, targets = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/mix_targets.parquet")
+    counted = tokens.token_counts(docs)
+    own = {r.doc_id: (r.source, r.n_tokens) for r in counted.withColumn("source", mixing.clean_source()).collect()}
+    longest, owned = collections.Counter(), collections.Counter()
+    for s, n in own.values():
+        longest[s] = max(longest[s], n)
+        owned[s] += n
+    chosen, report = mixing.mixture(counted, targets)
+    got = collections.defaultdict(collections.Counter)
+    limits = {(r.mix_id, r.source): r.max_repeats for r in report.collect()}
+    for r in chosen.collect():
+        assert own[r.doc_id] == (r.source, r.n_tokens) and r.copies <= limits[r.mix_id, r.source]
+        got[r.mix_id][r.source] += r.n_tokens * r.copies
+    mixes = collections.defaultdict(list)
+    for r in report.collect():
+        mixes[r.mix_id].append(r)
+        assert r.actual_tokens == got[r.mix_id][r.source]
+    for rows in mixes.values():
+        size = sum(owned[r.source] for r in rows)
+        free = [r for r in rows if r.actual_tokens + longest[r.source] < owned[r.source] * r.max_repeats]
+        left = size - sum(owned[r.source] * r.max_repeats for r in rows if r not in free)
+        for r in free:  # its target's part of what the exhausted sources leave, within one document
+            want = left * r.target_share / sum(x.target_share for x in free)
+            assert want - longest[r.source] - 1 <= r.actual_tokens <= want + 1, r
