@@ -7,7 +7,8 @@ what sequences of this length around c can reach. A stretch of text that stands
 have a window under this gram that covers the stretch; one hash function is enough for exact spans. Windows whose gram
 occurs in one text only are done with. The others are grouped by gram: records with the same content of the window
 share it whole, and where contents differ the sequences of the wanted length in it are compared by fingerprint, which
-is the intersection of the windows' intervals and the verification in one aggregate. No pairs are formed.
+is the intersection of the windows' intervals and the verification in one aggregate. No pairs are formed. What a text
+shares is kept as runs, at most a few a window, and merged by text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakegraph.session import Workspace
@@ -136,12 +137,30 @@ def _fingerprints(codes: np.ndarray, length: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def _pairs(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Row of a batch and place in its text as one number."""
+    return (row.astype(np.int64) << 40) | at.astype(np.int64)
+
+
+def _differ(a: str, b: str) -> Column:
+    """Whether the least and the greatest class of a group are two: classes are told by two hashes, 128 bits."""
+    return (F.col(f"{a}1") != F.col(f"{b}1")) | (F.col(f"{a}2") != F.col(f"{b}2"))
+
+
+def _bounds(c: str, a: str, b: str) -> list[Column]:
+    """Least and greatest of both hashes: numbers, so that groups are hashed and not sorted."""
+    return [f(f"{c}{i}").alias(f"{n}{i}") for f, n in ((F.min, a), (F.max, b)) for i in (1, 2)]
+
+
+SEEN = 1 << 17  # classes that a task remembers to have worked on
+
+
 class SharedSpans:
-    """Spans of at least `length` characters of texts(doc_id, text) that stand in another text; see shared().
+    """Spans of at least `length` characters of texts(doc_id, text) that stand in another text; see found() and coverage().
 
     Null texts and those shorter than `length` have none; rows with equal doc_id are different records; characters are
-    code points. Equal texts are one text for the work in between: each of two or more records with an equal text of
-    at least `length` characters shares all of it.
+    code points. Equal texts are one text for the work in between, told by 128 bits of two hashes (one of them over
+    the MD5 sum); each of two or more records with an equal text of at least `length` characters shares all of it.
     """
 
     def __init__(self, documents: DataFrame, length: int = MIN_LENGTH, gram: int = GRAM, filter_limit: int = FILTER_LIMIT):
@@ -149,7 +168,8 @@ class SharedSpans:
             raise ValueError("gram must be a power of two and at most length")
         self.spark, self.length, self.gram = documents.sparkSession, length, gram
         self.space = Workspace(self.spark)
-        self.texts = documents.select("doc_id", "text", F.xxhash64("text").alias("cls")).where(F.length("text") >= length)
+        long_enough = documents.select("doc_id", "text").where(F.length("text") >= length)
+        self.texts = long_enough.select("doc_id", "text", F.xxhash64("text").alias("c1"), F.xxhash64(F.md5("text")).alias("c2"))
         self.kind = documents.schema["doc_id"].dataType.simpleString()
         self.filter_limit = filter_limit
 
@@ -158,64 +178,70 @@ class SharedSpans:
         length, gram = self.length, self.gram
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set = set()
             for batch in batches:
-                cls = batch.column(0).to_numpy()
-                for (row, _, _, _, h, _), _ in _windows(batch.column(1).to_pylist(), length, gram):
-                    yield pa.RecordBatch.from_arrays([_signed(h), pa.array(cls[row])], names=["gram", "cls"])
+                batch = _unseen(batch, seen)
+                c1, c2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for (row, _, _, _, h, _), _ in _windows(batch.column(2).to_pylist(), length, gram):
+                    yield pa.RecordBatch.from_arrays([_signed(h), pa.array(c1[row]), pa.array(c2[row])], names=["gram", "c1", "c2"])
 
-        found = self.texts.select("cls", "text").mapInArrow(windows, "gram long, cls long")
-        return found.groupBy("gram").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("gram")
+        found = self.texts.select("c1", "c2", "text").mapInArrow(windows, "gram long, c1 long, c2 long")
+        return found.groupBy("gram").agg(*_bounds("c", "a", "b")).where(_differ("a", "b")).select("gram")
 
     def contexts(self) -> DataFrame:
-        """doc_id, cls, gram, at (of the window in the text), place (of the gram in the window), content: the windows
-        whose gram other texts have."""
+        """c1, c2, gram, at (of the window in the text), place (of the gram in the window), content: the windows whose
+        gram other texts have, of each different text (of some twice)."""
         space = self.space
         grams = space.put(self.shared_grams())
-        length, gram, kind = self.length, self.gram, self.kind
-        schema = f"doc_id {kind}, cls long, gram long, at long, place int, content string"
-        names = ["doc_id", "cls", "gram", "at", "place", "content"]
-        n = grams.count()
-        known = self.spark.sparkContext.broadcast(self._filter(grams)) if n <= self.filter_limit else None
+        length, gram = self.length, self.gram
+        schema = "c1 long, c2 long, gram long, at long, place int, content string"
+        names = ["c1", "c2", "gram", "at", "place", "content"]
+        few = grams.count() <= self.filter_limit
+        known = self.spark.sparkContext.broadcast(self._filter(grams)) if few else None
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            low = np.uint64((1 << FILTER_BITS) - 1)
+            low, seen = np.uint64((1 << FILTER_BITS) - 1), set()
             for batch in batches:
-                texts = batch.column(2).to_pylist()
-                listed = batch.column(3).to_pylist() if batch.num_columns > 3 else None
-                for (row, at, place, size, h, begin), codes in _windows(texts, length, gram):
-                    if listed is None:
+                batch = _unseen(batch, seen)
+                if known is None:
+                    listed = batch.column(3)
+                    owner = np.repeat(np.arange(batch.num_rows), np.diff(listed.offsets.to_numpy()))
+                    wanted = _pairs(owner, listed.flatten().to_numpy())
+                for (row, at, place, size, h, begin), codes in _windows(batch.column(2).to_pylist(), length, gram):
+                    if known is None:
+                        keep = np.flatnonzero(np.isin(_pairs(row, at), wanted))
+                    else:
                         slot = h & low
                         keep = np.flatnonzero(known.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-                    else:
-                        own = {i: set(listed[i] or ()) for i in np.unique(row).tolist()}
-                        keep = np.array([i for i, (x, p) in enumerate(zip(row.tolist(), at.tolist())) if p in own[x]], np.int64)
                     for s in range(0, len(keep), 4096):
                         k = keep[s : s + 4096]
                         content = [codes[b : b + w].tobytes().decode("utf-32-le") for b, w in zip(begin[k].tolist(), size[k].tolist())]
+                        own = pa.array(row[k])
                         yield pa.RecordBatch.from_arrays(
-                            [
-                                batch.column(0).take(pa.array(row[k])), batch.column(1).take(pa.array(row[k])), _signed(h[k]),
-                                pa.array(at[k]), pa.array(place[k].astype(np.int32)), pa.array(content, pa.string()),
-                            ],
+                            [batch.column(0).take(own), batch.column(1).take(own), _signed(h[k]), pa.array(at[k]), pa.array(place[k].astype(np.int32)), pa.array(content, pa.string())],
                             names=names,
                         )
 
-        if known is not None:
-            found = self.texts.select("doc_id", "cls", "text").mapInArrow(cut, schema).join(grams, "gram", "left_semi")
+        if few:
+            found = self.texts.select("c1", "c2", "text").mapInArrow(cut, schema).join(grams, "gram", "left_semi")
         else:
 
             def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                seen: set = set()
                 for batch in batches:
-                    cls = batch.column(0).to_numpy()
-                    for (row, at, _, _, h, _), _ in _windows(batch.column(1).to_pylist(), length, gram):
-                        yield pa.RecordBatch.from_arrays([_signed(h), pa.array(cls[row]), pa.array(at)], names=["gram", "cls", "at"])
+                    batch = _unseen(batch, seen)
+                    c1, c2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                    for (row, at, _, _, h, _), _ in _windows(batch.column(2).to_pylist(), length, gram):
+                        yield pa.RecordBatch.from_arrays([_signed(h), pa.array(c1[row]), pa.array(c2[row]), pa.array(at)], names=["gram", "c1", "c2", "at"])
 
             # the places of a text: no more than it has windows
             listed = (
-                self.texts.select("cls", "text").mapInArrow(places, "gram long, cls long, at long").join(grams, "gram", "left_semi")
-                .groupBy("cls").agg(F.collect_set("at").alias("places"))
+                self.texts.select("c1", "c2", "text").mapInArrow(places, "gram long, c1 long, c2 long, at long").join(grams, "gram", "left_semi")
+                .groupBy("c1", "c2").agg(F.collect_set("at").alias("places"))
             )
-            found = self.texts.join(listed, "cls").select("doc_id", "cls", "text", "places").mapInArrow(cut, schema).join(grams, "gram", "left_semi")
+            # copies of a text are brought down to one before the join
+            once = self.texts.groupBy("c1", "c2").agg(F.first("text").alias("text"))
+            found = once.join(listed, ["c1", "c2"]).select("c1", "c2", "text", "places").mapInArrow(cut, schema).join(grams, "gram", "left_semi")
         return space.put(found.select(*names))
 
     def _filter(self, grams: DataFrame) -> np.ndarray:
@@ -226,22 +252,30 @@ class SharedSpans:
             out[row["part"] << 12 : (row["part"] + 1) << 12] = np.frombuffer(row["bits"], np.uint8)
         return out
 
-    def _alike(self) -> tuple[DataFrame, DataFrame]:
-        """Contexts with the id of their content, and one row a content: of one text (a = b) or of several."""
-        contexts = self.contexts().withColumn("same", F.xxhash64("gram", "place", "content"))
-        contents = contexts.groupBy("same").agg(
-            F.min("gram").alias("gram"), F.min("cls").alias("a"), F.max("cls").alias("b"), F.first("content").alias("content")
-        )
-        return contexts, contents
+    def _keys(self) -> tuple[DataFrame, DataFrame]:
+        """doc_id, c1, c2, n_chars of the records, and c1, c2 of the texts that several records have."""
+        keys = self.space.put(self.texts.select("doc_id", "c1", "c2", F.length("text").cast("long").alias("n_chars")))
+        return keys, keys.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c1", "c2")
 
-    def _stretches(self, contents: DataFrame) -> DataFrame:
-        """(same, start) of the stretches of `length` characters in a content that another text has too."""
+    def _alike(self) -> tuple[DataFrame, DataFrame]:
+        """placed: c1, c2, at, gram, cid of every window; contents: cid, gram, a1, a2 (a text that has it), many (others
+        have it too), content. Contents are told by 128 bits of two hashes."""
+        told = [F.xxhash64("place", "content").alias("s1"), F.xxhash64("place", F.md5("content")).alias("s2")]
+        contexts = self.contexts().select("*", *told)
+        contents = contexts.groupBy("s1", "s2").agg(F.min("gram").alias("gram"), *_bounds("c", "a", "b"), F.first("content").alias("content"))
+        # written before use: ids do not change when a task runs again
+        contents = self.space.put(contents.select("s1", "s2", F.monotonically_increasing_id().alias("cid"), "gram", "a1", "a2", _differ("a", "b").alias("many"), "content"))
+        placed = self.space.put(contexts.select("c1", "c2", "at", "s1", "s2").distinct().join(contents.select("s1", "s2", "cid", "gram", "many"), ["s1", "s2"]).drop("s1", "s2"))
+        return placed, contents.drop("s1", "s2")
+
+    def _common(self, contents: DataFrame) -> DataFrame:
+        """(cid, start) of the stretches of `length` characters that a content of one text has and another text too."""
         length = self.length
 
         def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                same, a, b = (batch.column(i).to_numpy() for i in range(3))
-                texts = batch.column(3).to_pylist()
+                texts = batch.column(4).to_pylist()
+                own = [batch.column(i) for i in range(4)]
                 for s in range(0, len(texts), 2000):
                     group = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts[s : s + 2000]]
                     sizes = np.array([len(g) for g in group])
@@ -251,63 +285,72 @@ class SharedSpans:
                     row = np.repeat(np.arange(len(group)), counts)
                     start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                     p = prints[begins[row] + start]
+                    at = pa.array(s + row)
                     yield pa.RecordBatch.from_arrays(
-                        [_signed(np.ascontiguousarray(p[:, 0])), _signed(np.ascontiguousarray(p[:, 1])), pa.array(a[s + row]), pa.array(b[s + row]),
-                         pa.array(same[s + row]), pa.array(start.astype(np.int32))],
-                        names=["f1", "f2", "a", "b", "same", "start"],
+                        [_signed(np.ascontiguousarray(p[:, 0])), _signed(np.ascontiguousarray(p[:, 1])), *[c.take(at) for c in own], pa.array(start.astype(np.int32))],
+                        names=["f1", "f2", "cid", "k1", "k2", "many", "start"],
                     )
 
-        prints = contents.select("same", "a", "b", "content").mapInArrow(expand, "f1 long, f2 long, a long, b long, same long, start int")
-        return prints
+        # only grams with different contents, one of which is of one text only, have something to compare
+        groups = contents.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("many")).alias("open")).where("n > 1 and open > 0").select("gram")
+        compared = contents.join(groups, "gram", "left_semi").select("cid", F.col("a1").alias("k1"), F.col("a2").alias("k2"), "many", "content")
+        prints = compared.mapInArrow(expand, "f1 long, f2 long, cid long, k1 long, k2 long, many boolean, start int")
+        shared = prints.groupBy("f1", "f2").agg(*_bounds("k", "a", "b"), F.max("many").alias("many")).where(F.col("many") | _differ("a", "b")).select("f1", "f2")
+        return prints.where(~F.col("many")).select("f1", "f2", "cid", "start").join(shared, ["f1", "f2"], "left_semi").select("cid", "start")
 
     def found(self) -> DataFrame:
         """Distinct doc_id of the records that share a span."""
-        equal = self._equal()
-        contexts, contents = self._alike()
-        contents = self.space.put(contents)
-        marked = self.space.put(contexts.select("doc_id", "cls", "gram", "same"))
-        several = contents.where("a <> b").select("same")
-        certain = self.space.put(marked.join(several, "same", "left_semi").select("doc_id", "cls").distinct())
+        keys, equal = self._keys()
+        placed, contents = self._alike()
+        certain = self.space.put(placed.where("many").select("c1", "c2").union(equal).distinct())
         # groups of a gram with a text not found yet are compared stretch by stretch
-        open_grams = marked.join(certain.select("cls").distinct(), "cls", "left_anti").select("gram").distinct()
-        prints = self._stretches(contents.join(open_grams, "gram", "left_semi"))
-        shared = prints.groupBy("f1", "f2").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b")
-        # of the two texts named by a shared stretch and of all others that have it
-        hit = prints.join(shared.select("f1", "f2"), ["f1", "f2"], "left_semi").select("same").distinct()
-        compared = marked.join(hit, "same", "left_semi").select("doc_id")
-        return certain.select("doc_id").unionByName(compared).unionByName(equal.select("doc_id")).distinct()
-
-    def _equal(self) -> DataFrame:
-        """doc_id, cls of the records whose whole text another record has."""
-        several = self.texts.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls")
-        return self.texts.select("doc_id", "cls").join(several, "cls", "left_semi")
+        open_grams = placed.join(certain, ["c1", "c2"], "left_anti").select("gram").distinct()
+        hit = self._common(contents.join(open_grams, "gram", "left_semi")).select("cid").distinct()
+        classes = certain.unionByName(placed.join(hit, "cid", "left_semi").select("c1", "c2")).distinct()
+        return keys.join(classes, ["c1", "c2"], "left_semi").select("doc_id").distinct()
 
     def coverage(self) -> DataFrame:
         """doc_id, n_chars, n_spans, shared_chars, shared_part of every record with text of at least `length`
         characters: the maximal stretches made of shared spans, and what part of the text they cover."""
-        contexts, contents = self._alike()
-        contents = self.space.put(contents)
-        placed = self.space.put(contexts.select("cls", "at", "same").distinct())
-        prints = self._stretches(contents)
-        shared = prints.groupBy("f1", "f2").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("f1", "f2")
-        starts = prints.join(shared, ["f1", "f2"], "left_semi").select("same", "start")
-        # per text: the starts of shared stretches, no more than it has characters
-        begins = placed.join(starts, "same").select("cls", (F.col("at") + F.col("start")).alias("start")).distinct()
+        keys, equal = self._keys()
+        placed, contents = self._alike()
         length = self.length
 
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Starts of a content, in order, to the runs they cover: a start within the last run's reach goes on with it."""
             for batch in batches:
-                spans, chars = [], []
-                for begin in batch.column(1).to_pylist():
-                    x = np.sort(np.array(begin))
-                    gaps = np.diff(x)
-                    spans.append(1 + int((gaps > length).sum()))
-                    chars.append(int(np.minimum(gaps, length).sum()) + length)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.int32()), pa.array(chars, pa.int64())], names=["cls", "n_spans", "shared_chars"])
-
-        merged = begins.groupBy("cls").agg(F.collect_list("start").alias("starts")).mapInArrow(merge, "cls long, n_spans int, shared_chars long")
-        equal = self._equal().select("cls").distinct().withColumn("whole", F.lit(True))
-        rows = self.texts.select("doc_id", "cls", F.length("text").cast("long").alias("n_chars")).join(merged, "cls", "left").join(equal, "cls", "left")
-        rows = rows.withColumn("shared_chars", F.when(F.col("whole"), F.col("n_chars")).otherwise(F.coalesce("shared_chars", F.lit(0))).cast("long"))
-        rows = rows.withColumn("n_spans", F.when(F.col("whole"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("int"))
-        return rows.select("doc_id", "n_chars", "n_spans", "shared_chars", (F.col("shared_chars") / F.col("n_chars")).alias("shared_part"))
+                starts = batch.column(1)
+                values = starts.flatten().to_numpy().astype(np.int64)
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(starts.offsets.to_numpy()))
+                first = np.append(True, (owner[1:] != owner[:-1]) | (values[1:] > values[:-1] + length))[: len(values)]
+                last = np.append(first[1:], True)[: len(values)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(owner[first])), pa.array(values[first]), pa.array(values[last] + length)], names=["cid", "low", "high"]
+                )
+
+        # a content is no longer than two spans, so it has no more starts than one
+        some = self._common(contents).groupBy("cid").agg(F.array_sort(F.collect_set("start")).alias("starts")).mapInArrow(runs, "cid long, low long, high long")
+        whole = contents.where("many").select("cid", F.lit(0).cast("long").alias("low"), F.length("content").cast("long").alias("high"))
+        parts = some.unionByName(whole)
+        own = placed.join(equal, ["c1", "c2"], "left_anti").select("c1", "c2", "at", "cid")
+        spans = own.join(parts, "cid").select("c1", "c2", (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high"))
+        before = F.max("high").over(Window.partitionBy("c1", "c2").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1))
+        merged = spans.withColumn("before", before).groupBy("c1", "c2").agg(
+            F.count_if(F.col("before").isNull() | (F.col("low") > F.col("before"))).cast("int").alias("n_spans"),
+            F.sum(F.greatest(F.lit(0), F.col("high") - F.greatest("low", F.coalesce("before", "low")))).cast("long").alias("shared_chars"),
+        )
+        shares = merged.unionByName(equal.select("c1", "c2", F.lit(1).alias("n_spans"), F.lit(None).cast("long").alias("shared_chars")))
+        rows = keys.join(shares, ["c1", "c2"], "left")
+        chars = F.when(F.col("n_spans").isNull(), 0).otherwise(F.coalesce("shared_chars", "n_chars")).cast("long")
+        return rows.select("doc_id", "n_chars", F.coalesce("n_spans", F.lit(0)).alias("n_spans"), chars.alias("shared_chars"), (chars / F.col("n_chars")).alias("shared_part"))
+
+
+def _unseen(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """The rows of texts that this task has not worked on, as far as it remembers; the first two columns tell a text."""
+    keep = []
+    for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        keep.append(key not in seen)
+        if len(seen) >= SEEN:
+            seen.clear()
+        seen.add(key)
+    return batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))
