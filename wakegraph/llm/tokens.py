@@ -1,8 +1,9 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer by content-defined chunk reuse.
 
 A rolling hash over the bytes of each text proposes cuts, so that equal stretches of different documents fall into
-equal chunks wherever they stand. Chunks that occur more than once are encoded once and joined back; the others are
-encoded where they are. The tokenizer splits a text by a pattern before it merges bytes, and the pattern always splits
+equal chunks wherever they stand. Texts are cut once into a table of chunk hashes; a chunk that occurs more than once
+is encoded once, in one of its texts, and joined back to the others. Texts without such a chunk are encoded where they
+are read. The tokenizer splits a text by a pattern before it merges bytes, and the pattern always splits
 between a visible character and the white space after it, so a cut there is exact. A cut elsewhere may have torn a
 token: such joins are repaired by encoding anew from the last exact place before the cut to the first one after it,
 whose token boundaries agree with those of the chunks by construction.
@@ -34,7 +35,7 @@ _BLANK[[0x20, 0x0A, 0x0D, 0x09]] = True
 
 
 def _gear() -> np.ndarray:
-    return np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64)
+    return np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 _GEAR = _gear()
@@ -59,9 +60,9 @@ def rolling_cuts(data: np.ndarray, mean: int = MEAN_CHUNK) -> np.ndarray:
     h = _GEAR[data]
     step = 1
     while step < WINDOW:  # the hash of 2s bytes from two of s bytes
-        h = (h[:-step] << np.uint64(step)) + h[step:]
+        h = (h[:-step] << np.uint32(step)) + h[step:]
         step *= 2
-    mask = np.uint64((mean - 1) << 20)
+    mask = np.uint32((mean - 1) << (33 - mean.bit_length()))  # the upper bits, which depend on most of the window
     return np.flatnonzero((h & mask) == 0) + WINDOW
 
 
@@ -164,26 +165,41 @@ def _texts(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
     return batch.column(i).cast(pa.binary()).to_pylist()
 
 
-def shared_chunks(documents: DataFrame, mean: int = MEAN_CHUNK) -> DataFrame:
-    """(hash) of the chunks that occur more than once, within a text or across texts."""
+def chunk_hashes(rows: DataFrame, mean: int = MEAN_CHUNK) -> DataFrame:
+    """(row, hash) of every chunk of rows(row, text), as often as it occurs."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[bytes, int] = {}
-            for chunks, _ in chunked(_texts(batch, 0), mean):
-                for h in map(xxhash.xxh3_128_digest, chunks):
-                    out[h] = out.get(h, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.int64())], names=["hash", "n"])
+            found: list[bytes] = []
+            counts = []
+            for chunks, _ in chunked(_texts(batch, 1), mean):
+                found.extend(map(xxhash.xxh3_128_digest, chunks))
+                counts.append(len(chunks))
+            own = np.repeat(batch.column(0).to_numpy(), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(found, pa.binary())], names=["row", "hash"])
+
+    return rows.select("row", "text").mapInArrow(hashes, "row long, hash binary")
+
+
+def _rows(documents: DataFrame) -> DataFrame:
+    """The documents with something to encode; equal rows share a `row`, as their chunks are the same."""
+    return documents.select("doc_id", "text").where("text is not null and text <> ''").withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def shared_chunks(documents: DataFrame, mean: int = MEAN_CHUNK) -> DataFrame:
+    """(hash, home) of the chunks that occur more than once, within a text or across texts, with one row that has it."""
+    return _shared(chunk_hashes(_rows(documents), mean))
+
 
-    found = documents.select("text").where("text is not null and text <> ''").mapInArrow(hashes, "hash binary, n long")
-    return found.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
+def _shared(found: DataFrame) -> DataFrame:
+    return found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("home")).where("n > 1").select("hash", "home")
 
 
 FILTER_BITS = 26  # 8 MB: the size of what is broadcast, whatever the corpus
 
 
 def shared_filter(shared: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits in which those of the shared hashes are set: fixed size, no hash is missed."""
+    """A bitmap of 2**FILTER_BITS bits in which those of the given hashes are set: fixed size, no hash is missed."""
     slot = F.conv(F.substring(F.hex("hash"), 1, 16), 16, 10).cast("decimal(20,0)")
     slot = F.pmod(slot, F.lit(1 << FILTER_BITS)).cast("long")
     parts = shared.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("part")).agg(
@@ -200,61 +216,62 @@ def _in_filter(bits: np.ndarray, digest: bytes) -> bool:
     return bool(bits[slot >> 3] >> (slot & 7) & 1)
 
 
+def _rows_in_filter(bits: np.ndarray, rows: pa.Array) -> np.ndarray:
+    slot = rows.to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def encode_documents(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, folder: str | None = None, mean: int = MEAN_CHUNK) -> DataFrame:
     """(doc_id, ids) of every row of documents(doc_id, text); other columns are ignored.
 
     Null and empty texts give an empty list; special tokens' strings are ordinary text. Rows with equal or null doc_id
     stay apart. The ids equal those of encoding each text in one piece.
+
+    A bitmap of fixed size tells which texts may have a shared chunk; the fuller it is, the more texts take the way of
+    those that do, which is right for every text and only costs a shuffle of it.
     """
     spark = documents.sparkSession
     space = Workspace(spark)
-    docs = documents.select("doc_id", "text")
-    known = spark.sparkContext.broadcast(shared_filter(shared_chunks(docs, mean)))
-
-    def offers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks that other texts may hold, each once a task; the filter may name some too many."""
-        bits, seen = known.value, set()
-        for batch in batches:
-            hashes, chunks = [], []
-            for own, _ in chunked(_texts(batch, 0), mean):
-                for chunk in own:
-                    h = xxhash.xxh3_128_digest(chunk)
-                    if _in_filter(bits, h) and h not in seen:
-                        if len(seen) > 1 << 17:
-                            seen.clear()
-                        seen.add(h)
-                        hashes.append(h)
-                        chunks.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(chunks, pa.binary())], names=["hash", "chunk"])
-
-    def encode_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    full = _rows(documents)
+    kind = full.schema["doc_id"].dataType.simpleString()
+    found = space.put(chunk_hashes(full, mean))
+    wanted = space.put(found.join(_shared(found), "hash").distinct())
+    space.drop(found)
+    row_hash = F.unhex(F.lpad(F.hex("row"), 16, "0")).alias("hash")
+    sharing = spark.sparkContext.broadcast(shared_filter(wanted.select("row").distinct().select(row_hash)))
+
+    def encode_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(tokenizer, folder)
         for batch in batches:
-            ids = [_pack(_encode(enc, c)) for c in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["hash", "ids"])
+            batch = batch.filter(pa.array(~_rows_in_filter(sharing.value, batch.column(0))))
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                yield _id_lists(part.column(1), [np.array(enc.encode_ordinary(t), np.int32) for t in part.column(2).to_pylist()])
 
-    once = docs.where("text is not null and text <> ''").select("text").mapInArrow(offers, "hash binary, chunk binary").dropDuplicates(["hash"])
-    dictionary = space.put(once.mapInArrow(encode_once, "hash binary, ids binary"))
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_rows_in_filter(sharing.value, batch.column(0))))
 
-    # equal rows share a key: their chunks are the same
-    numbered = docs.where("text is not null and text <> ''").withColumn("row", F.xxhash64("doc_id", "text"))
+    # texts that may have a shared chunk, read once more for its encoding and once for their own
+    texts = space.put(full.select("row", "doc_id", "text").mapInArrow(pick, f"row long, doc_id {kind}, text string"))
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = known.value
+    def encode_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(tokenizer, folder)
         for batch in batches:
-            rows, hashes = [], []
-            for row, (chunks, _) in zip(batch.column(0).to_pylist(), chunked(_texts(batch, 1), mean)):
-                for h in set(map(xxhash.xxh3_128_digest, chunks)):
-                    if _in_filter(bits, h):
-                        rows.append(row)
+            hashes, ids = [], []
+            for (chunks, _), own in zip(chunked(_texts(batch, 0), mean), batch.column(1).to_pylist()):
+                left = set(own)
+                for chunk in chunks:
+                    if (h := xxhash.xxh3_128_digest(chunk)) in left:
+                        left.discard(h)
                         hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(hashes, pa.binary())], names=["row", "hash"])
+                        ids.append(_pack(_encode(enc, chunk)))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.binary())], names=["hash", "ids"])
 
-    # a text's shared chunks: no more than the text has
-    brought = (
-        numbered.select("row", "text").mapInArrow(wanted, "row long, hash binary").join(dictionary, "hash")
-        .groupBy("row").agg(F.collect_set(F.struct("hash", "ids")).alias("given"))
-    )
+    # a text's chunks: no more than the text has
+    homes = wanted.select(F.col("home").alias("row"), "hash").distinct().groupBy("row").agg(F.collect_list("hash").alias("own"))
+    dictionary = space.put(texts.join(homes, "row").select("text", "own").mapInArrow(encode_once, "hash binary, ids binary").dropDuplicates(["hash"]))
+    brought = wanted.join(dictionary, "hash").groupBy("row").agg(F.collect_list(F.struct("hash", "ids")).alias("given"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(tokenizer, folder)
@@ -265,14 +282,18 @@ def encode_documents(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, f
                 for i, (chunks, exact) in enumerate(chunked(texts[start : start + 1000], mean), start):
                     have = {g["hash"]: g["ids"] for g in given[i].as_py() or ()}
                     out.append(join_chunks(enc, chunks, exact, _chunk_ids(enc, chunks, exact, have)))
-                offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[start : start + 1000], lists], names=["doc_id", "ids"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    full = numbered.join(brought, "row", "left").select("doc_id", "text", "given").mapInArrow(assemble, f"doc_id {kind}, ids array<int>")
-    empty = docs.where("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
-    return full.unionByName(empty)
+                yield _id_lists(batch.column(0).slice(start, 1000), out)
+
+    result = f"doc_id {kind}, ids array<int>"
+    plain = full.select("row", "doc_id", "text").mapInArrow(encode_plain, result)
+    joined = texts.join(brought, "row", "left").select("doc_id", "text", "given").mapInArrow(assemble, result)
+    empty = documents.where("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
+    return plain.unionByName(joined).unionByName(empty)
+
+
+def _id_lists(doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))], names=["doc_id", "ids"])
 
 
 def _pack(ids: np.ndarray) -> bytes:
