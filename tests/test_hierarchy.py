@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wakegraph.operators.hierarchy import Hierarchy, cycles, links
+from wakegraph.session import Workspace
 
 SCHEMA = "c string, p string, node string, level int, child string"
 
@@ -88,3 +90,32 @@ def test_only_a_cycle(spark):
     assert {r.node: r.cycle for r in h.cycles.collect()} == dict.fromkeys("abc", "a")
     assert h.descendants().count() == 9
     assert {r.n_descendants for r in h.summary().collect()} == {3}
+
+
+def test_a_star_on_a_cycle(spark):
+    """A million children of one node that is on a cycle, one of them with a child of its own."""
+    star = spark.range(1_000_000).select(F.concat(F.lit("leaf"), "id").alias("child"), F.lit("hub").alias("parent"))
+    edges = star.unionByName(spark.createDataFrame([("hub", "x"), ("x", "y"), ("y", "hub"), ("below", "leaf7"), ("x", "top")], "child string, parent string"))
+    assert {r.node: r.cycle for r in cycles(edges).collect()} == dict.fromkeys(["hub", "x", "y"], "hub")
+
+
+def test_long_runs_take_few_rounds(spark):
+    """A ring of 500, with a tail of 500 below and above, and a second ring at its end."""
+    n = 500
+    pairs = [(f"r{i:03}", f"r{(i + 1) % n:03}") for i in range(n)] + [(f"t{i:03}", f"t{i + 1:03}") for i in range(n)] + [(f"t{n:03}", "r007"), ("r100", "u000")]
+    pairs += [(f"u{i:03}", f"u{i + 1:03}") for i in range(n)] + [(f"u{n:03}", "s0"), ("s0", "s1"), ("s1", "s0")]
+    edges = frame(spark, pairs)
+    space = Workspace(spark)
+    written = []
+    put = space.put
+    space.put = lambda df, *by: written.append(1) or put(df, *by)
+    found = {r.node: r.cycle for r in cycles(edges, space).collect()}
+    assert found == {f"r{i:03}": "r000" for i in range(n)} | {"s0": "s0", "s1": "s0"}
+    assert len(written) < 150
+
+
+def test_levels_of_a_deep_tree(spark):
+    pairs = [(f"a{i:02}", f"a{i + 1:02}") for i in range(30)] + [("b", "a20"), ("b", "c"), ("c", "a20"), ("d", "a30")]
+    h = Hierarchy(frame(spark, pairs))
+    levels = {r.vertex: r.level for r in h.levels.collect()}
+    assert levels == {f"a{i:02}": i for i in range(31)} | {"b": 0, "c": 1, "d": 0}

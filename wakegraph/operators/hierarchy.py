@@ -1,8 +1,10 @@
 """Parent-child links to full hierarchies: paths, depths, roots, descendants and cycles.
 
-Bottom-up peeling takes away, round by round, the nodes that have no child left. What cannot be peeled holds the
-cycles: it is trimmed from above in the same way, and the strongly connected parts of the rest are found by colouring.
-Each part is then one vertex of an acyclic graph, over whose peel order descendants go up and paths come down.
+Bottom-up peeling takes away, round by round, the nodes that have no child left; only the parents of what was peeled
+in a round are looked at in the next. What cannot be peeled holds the cycles. Where only these are wanted, roots are
+peeled together with leaves and single-child runs are contracted meanwhile, so that the rounds grow with the logarithm
+of the depth; the strongly connected parts of the rest are found by colouring. Each part is then one vertex of an
+acyclic graph, over whose peel order descendants go up and paths come down.
 """
 
 from __future__ import annotations
@@ -12,9 +14,6 @@ from pyspark.sql import functions as F
 
 from wakegraph.session import Workspace
 
-MARKS_PER_NODE = 1_000_000  # links of one node that may meet in one task
-ROUNDS_PER_JOB = 8  # rounds that are planned together before their result is written
-
 
 def links(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """Distinct (child, parent) links with no null end."""
@@ -27,52 +26,77 @@ def class_links(extends: DataFrame, implements: DataFrame) -> DataFrame:
     return links(extends, "from_class_fqn", "to_class_fqn").union(links(implements, "from_class_fqn", "to_interface_fqn")).distinct()
 
 
-def _round(edges: DataFrame, end: str, number: int, hot: bool) -> DataFrame:
-    """Marks the links of the nodes that, among the links not yet `gone`, stand only at `end`.
-
-    Every open link puts a mark on the node at its other end, and the window tells a node's own links whether there is
-    one. With a hot node an aggregate first leaves one mark a node and map task, so that it gets few.
-    """
-    other = "parent" if end == "child" else "child"
-    own = F.struct(F.col(end).alias("node"), F.col(other).alias("far"), "gone", F.lit(0).alias("mark"))
-    mark = F.struct(F.col(other).alias("node"), F.lit(None).cast("string").alias("far"), F.lit(None).cast("int").alias("gone"), F.lit(1).alias("mark"))
-    rows = edges.select(F.explode(F.when(F.col("gone").isNull(), F.array(own, mark)).otherwise(F.array(own))).alias("r")).select("r.*")
-    rows = rows.distinct() if hot else rows
-    marked = rows.withColumn("held", F.max("mark").over(Window.partitionBy("node"))).where("mark = 0")
-    gone = F.when(F.col("gone").isNull() & (F.col("held") == 0), number).otherwise(F.col("gone"))
-    return marked.select(F.col("node").alias(end), F.col("far").alias(other), gone.alias("gone")).select("child", "parent", "gone")
+def numbered(space: Workspace, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (name, id) and the links as ids (child, parent), both written, as ids must not change when a task runs again."""
+    names = edges.select(F.explode(F.array("child", "parent")).alias("name")).distinct()
+    nodes = space.put(names.select("name", F.monotonically_increasing_id().alias("id")))
+    pairs = edges.join(nodes.select(F.col("name").alias("child"), F.col("id").alias("c")), "child").join(nodes.select(F.col("name").alias("parent"), F.col("id").alias("p")), "parent")
+    return nodes, space.put(pairs.select(F.col("c").alias("child"), F.col("p").alias("parent")))
 
 
-def peel(space: Workspace, edges: DataFrame, end: str) -> tuple[DataFrame, DataFrame]:
-    """Peels nodes that stand only at `end` until none is left: (node, level) of those peeled, and the links left.
+def peel(space: Workspace, arcs: DataFrame) -> DataFrame:
+    """(node, level) of arcs(child, parent) without cycles: 0 for leaves, else one more than the highest child.
 
-    end="child" peels from the leaves up, end="parent" from the roots down. A node that has lost all its links isn't
-    listed: it stands above (below) the last peeled node at the other end of its links.
+    A round sends a mark up from every node peeled in the last one. Marks are summed before and after they are sent, so
+    a popular parent is no group in one task; a node is peeled when it has as many marks as children. All rounds
+    together send each arc once.
     """
-    left, level = edges.select("child", "parent"), 0
-    sizes = edges.groupBy(F.col("parent" if end == "child" else "child").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    hot = (sizes.agg(F.max("n")).first()[0] or 0) > MARKS_PER_NODE
-    peeled = edges.select(F.col(end).alias("node"), F.lit(0).alias("level")).limit(0)
+    needs = arcs.groupBy("parent").agg(F.count(F.lit(1)).alias("need"))
+    up = space.put(arcs.join(needs, "parent").select("child", "parent", "need"))
+    leaves = arcs.select("child").join(needs.select(F.col("parent").alias("child")), "child", "left_anti").distinct()
+    marks = leaves.select(F.col("child").alias("node"), F.lit(0).cast("long").alias("got"), F.lit(0).cast("long").alias("need"))
+    rounds = space.folder(marks.withColumn("level", F.lit(0)), "level")
+    level = 0
+    while rounds.append_seen(level, marks, F.col("got") == F.col("need")):
+        here = rounds.part(level)
+        sent = here.where("got = need").select(F.col("node").alias("child")).join(up, "child").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("got"), F.max("need").alias("need"))
+        waiting = here.where("got < need")
+        marks = waiting.unionByName(sent).groupBy("node").agg(F.sum("got").alias("got"), F.max("need").alias("need"))
+        level += 1
+    return rounds.all().where("got = need").select("node", "level")
+
+
+def trim(space: Workspace, edges: DataFrame) -> tuple[DataFrame, DataFrame | None, bool]:
+    """The links from which peeling from both sides leaves nothing to peel, what was contracted, and whether links are left.
+
+    edges: child, parent, via (ids). A round takes away the links of nodes without children or without parents. Of the
+    nodes with one child and one parent it takes those with the least hash among the three, which no two neighbours
+    are: the links at such a node become one from its child to its parent, whose `via` is the node, and a link that
+    already had a via leaves (via, into) behind. Rounds end when nothing was peeled. The degrees are aggregates and the
+    links of a hot node stay where they are, on the side of the joins that may be split.
+    """
+    left, pointers, number = edges, None, 0
     while True:
-        marked = left.withColumn("gone", F.lit(None).cast("int"))
-        for k in range(ROUNDS_PER_JOB):
-            marked = _round(marked, end, k, hot)  # the same numbers in every job, so that its code is compiled once
-        marked, seen = space.put_seen(marked.withColumn("gone", F.col("gone") + level), gone=F.col("gone").isNotNull(), left=F.col("gone").isNull())
-        peeled = peeled.unionByName(marked.where("gone is not null").select(F.col(end).alias("node"), F.col("gone").alias("level")).distinct())
-        left = marked.where("gone is null").select("child", "parent")
-        level += ROUNDS_PER_JOB
-        if not (seen["gone"] and seen["left"]):
-            return peeled, left
+        end = lambda node, c, p: F.struct(F.col(node).alias("node"), c.alias("c"), p.alias("p"))
+        none = F.lit(None).cast("long")
+        ends = left.select(F.explode(F.array(end("child", none, F.col("parent")), end("parent", F.col("child"), none))).alias("e")).select("e.*")
+        degrees = ends.groupBy("node").agg(F.min("c").alias("c"), F.max("c").alias("c2"), F.min("p").alias("p"), F.max("p").alias("p2"))
+        mark = lambda n: F.xxhash64(F.lit(number), n)
+        inner = (F.col("c") == F.col("c2")) & (F.col("p") == F.col("p2")) & (mark("node") < mark("c")) & (mark("node") < mark("p"))
+        ended = F.col("c").isNull() | F.col("p").isNull()
+        out, peeled = space.put_seen(degrees.withColumn("ended", ended).where(ended | inner).select("node", "ended", "c", "p"), any=F.col("ended"))
+        at = lambda side: out.select(F.col("node").alias(side), F.col("ended").alias(f"{side}_ended"), F.when(~F.col("ended"), F.col("node")).alias(f"{side}_into"))
+        met = left.join(at("child"), "child", "left").join(at("parent"), "parent", "left")
+        kept = F.col("child_ended").isNull() & F.col("parent_ended").isNull()
+        into = F.coalesce("child_into", "parent_into")
+        rows = met.where(kept | (F.col("via").isNotNull() & into.isNotNull())).select("child", "parent", "via", F.when(~kept, into).alias("into"), F.coalesce("child_ended", "parent_ended", F.lit(False)).alias("ended"))
+        joined = out.where("not ended").select(F.col("c").alias("child"), F.col("p").alias("parent"), F.col("node").alias("via"), F.lit(None).cast("long").alias("into"), F.lit(False).alias("ended"))
+        now, seen = space.put_seen(rows.unionByName(joined), left=F.col("into").isNull())
+        moved = now.where("into is not null").select("via", "into")
+        pointers = moved if pointers is None else pointers.unionByName(moved)
+        left, number = now.where("into is null").select("child", "parent", "via"), number + 1
+        if not (peeled["any"] and seen["left"]):
+            return left, pointers, seen["left"]
 
 
 def least_reaching(space: Workspace, edges: DataFrame) -> DataFrame:
-    """(node, least): the least name among a node and those from which (child, parent) links lead to it.
+    """(node, least): the least id among a node and those from which (child, parent) links lead to it.
 
-    Names go along links, and along the names already taken: what reaches my least also reaches me.
+    Ids go along links, and along the ids already taken: what reaches my least also reaches me.
     """
     state = space.put(edges.select(F.explode(F.array("child", "parent")).alias("node")).distinct().withColumn("least", F.col("node")).withColumn("moved", F.lit(True)))
     while True:
-        sent = edges.join(state.select(F.col("node").alias("child"), "least"), "child").select(F.col("parent").alias("node"), "least", F.lit(None).cast("string").alias("was"))
+        sent = edges.join(state.select(F.col("node").alias("child"), "least"), "child").select(F.col("parent").alias("node"), "least", F.lit(None).cast("long").alias("was"))
         now = state.select("node", "least", F.col("least").alias("was")).unionByName(sent).groupBy("node").agg(F.min("least").alias("least"), F.max("was").alias("was"))
         jump = state.select(F.col("node").alias("least"), F.col("least").alias("further"))
         now = now.join(jump, "least").select("node", F.least("least", "further").alias("least"), "was")
@@ -83,32 +107,47 @@ def least_reaching(space: Workspace, edges: DataFrame) -> DataFrame:
             return state.select("node", "least")
 
 
-def components(space: Workspace, edges: DataFrame) -> DataFrame:
-    """(node, part) of the strongly connected parts with a cycle, of links from which peeling leaves a rest.
+def components(space: Workspace, edges: DataFrame) -> DataFrame | None:
+    """(node, part) of the strongly connected parts with a cycle, of links (child, parent) as ids; None if there is none.
 
-    Colouring: every node takes the least name that reaches it; those that in turn reach this name within its colour
-    are one part, named by it. They are taken out, the rest is peeled from both sides and coloured again.
+    Colouring: every node takes the least id that reaches it; those that in turn reach this id within its colour are
+    one part. They are taken out, the rest is trimmed and coloured again.
     """
-    left, done = edges, None
-    while not left.isEmpty():
-        colour = least_reaching(space, left)
+    left, pointers, some = trim(space, edges.withColumn("via", F.lit(None).cast("long")))
+    found, absorbed = None, [pointers]
+    while some:
+        plain = left.select("child", "parent").distinct()
+        colour = least_reaching(space, plain)
         inner = space.put(
-            left.join(colour.select(F.col("node").alias("child"), F.col("least").alias("c")), "child")
+            plain.join(colour.select(F.col("node").alias("child"), F.col("least").alias("c")), "child")
             .join(colour.select(F.col("node").alias("parent"), "least"), "parent").where("c = least").select("child", "parent")
         )
         back = least_reaching(space, inner.select(F.col("parent").alias("child"), F.col("child").alias("parent")))
         part = space.put(colour.join(back.withColumnRenamed("least", "reaches"), "node").where("least = reaches").select("node", F.col("least").alias("part")))
         # a node between cycles is a part of its own, but on a cycle only if it links to itself
-        loops = left.where("child = parent").select(F.col("child").alias("node"), F.lit(True).alias("loop"))
+        loops = plain.where("child = parent").select(F.col("child").alias("node"), F.lit(True).alias("loop"))
         sizes = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
         on_cycle = space.put(part.join(sizes, "part").join(loops, "node", "left").where("n > 1 or loop").select("node", "part"))
-        done = on_cycle if done is None else done.unionByName(on_cycle)
+        # what was contracted into a link within a part lies on its cycles
+        within = left.where("via is not null").join(on_cycle.select(F.col("node").alias("child"), "part"), "child").join(on_cycle.select(F.col("node").alias("parent"), F.col("part").alias("other")), "parent").where("part = other")
+        these = on_cycle.unionByName(within.select(F.col("via").alias("node"), "part"))
+        found = these if found is None else found.unionByName(these)
         taken = part.select("node")
-        rest = space.put(
-            left.join(taken.withColumnRenamed("node", "child"), "child", "left_anti").join(taken.withColumnRenamed("node", "parent"), "parent", "left_anti")
-        )
-        left = peel(space, peel(space, rest, "child")[1], "parent")[1]
-    return edges.select(F.col("child").alias("node"), F.col("parent").alias("part")).limit(0) if done is None else done
+        rest = space.put(left.join(taken.withColumnRenamed("node", "child"), "child", "left_anti").join(taken.withColumnRenamed("node", "parent"), "parent", "left_anti"))
+        left, pointers, some = trim(space, rest.select("child", "parent", "via"))
+        absorbed.append(pointers)
+    if found is None:
+        return None
+    # contracted nodes to those they went into, by doubling, and on to their part
+    found = space.put(found)
+    into = absorbed[0]
+    for more in absorbed[1:]:
+        into = into.unionByName(more)
+    into, moved = space.put_seen(into.select("via", "into", F.lit(True).alias("moved")), moved=F.lit(True))
+    while moved["moved"]:
+        further = into.select(F.col("via").alias("into"), F.col("into").alias("next"))
+        into, moved = space.put_seen(into.join(further, "into", "left").select("via", F.coalesce("next", "into").alias("into"), F.col("next").isNotNull().alias("moved")), moved=F.col("moved"))
+    return found.unionByName(into.join(found.withColumnRenamed("node", "into"), "into").select(F.col("via").alias("node"), "part"))
 
 
 def cycles(edges: DataFrame, space: Workspace | None = None) -> DataFrame:
@@ -117,10 +156,12 @@ def cycles(edges: DataFrame, space: Workspace | None = None) -> DataFrame:
     edges: child, parent, as of links(). No links or no cycles give no rows.
     """
     space = space or Workspace(edges.sparkSession)
-    edges = space.put(edges)
-    _, rest = peel(space, edges, "child")
-    _, rest = peel(space, rest, "parent")
-    return components(space, rest).select("node", F.col("part").alias("cycle"))
+    nodes, pairs = numbered(space, edges)
+    found = components(space, pairs)
+    if found is None:
+        return edges.select(F.col("child").alias("node"), F.col("parent").alias("cycle")).limit(0)
+    named = space.put(found.join(nodes.withColumnRenamed("id", "node"), "node").select(F.col("name").alias("node"), "part"))
+    return named.join(named.groupBy("part").agg(F.min("node").alias("cycle")), "part").select("node", "cycle")
 
 
 class Hierarchy:
@@ -142,13 +183,10 @@ class Hierarchy:
             .join(to.select(F.col("node").alias("parent"), F.col("vertex").alias("p")), "parent")
             .where("c <> p").select(F.col("c").alias("child"), F.col("p").alias("parent")).distinct()
         )
-        peeled, _ = peel(space, self.arcs, "child")
-        inner = space.put(peeled)
-        tops = (
-            self.members.select(F.col("vertex").alias("node")).distinct().join(inner, "node", "left_anti")
-            .join(self.arcs.join(inner.select(F.col("node").alias("child"), "level"), "child").groupBy(F.col("parent").alias("node")).agg((F.max("level") + 1).alias("level")), "node", "left")
-        )
-        self.levels = space.put(inner.unionByName(tops.select("node", F.coalesce("level", F.lit(0)).alias("level"))).withColumnRenamed("node", "vertex"))
+        peeled = peel(space, self.arcs)
+        # vertices without arcs are leaves and roots at once
+        vertices = self.members.select(F.col("vertex").alias("node")).distinct()
+        self.levels = space.put(vertices.join(peeled, "node", "left").select(F.col("node").alias("vertex"), F.coalesce("level", F.lit(0)).alias("level")))
         self.top = self.levels.agg(F.max("level")).first()[0] or 0
 
     def vertex_descendants(self) -> DataFrame:

@@ -51,6 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+def _observed(df: DataFrame, conditions: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    return df.observe(seen, *[F.count_if(c).alias(n) for n, c in conditions.items()]), seen
+
+
 class Folder:
     """A table that grows by appended pieces and is read by the value of the column it is filed by."""
 
@@ -65,6 +72,12 @@ class Folder:
         """Files rows without the column under one value."""
         df.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{self.by}={value}")
 
+    def append_seen(self, value: int, df: DataFrame, condition: Column) -> bool:
+        """append_to, and whether any of the rows met the condition, seen while writing; see Workspace.put_seen."""
+        df, got = _observed(df, {"seen": condition})
+        self.append_to(value, df)
+        return bool(got.get.get("seen"))
+
     def part(self, value: int) -> DataFrame:
         """What is filed under a value; no rows where nothing is."""
         path = f"{self.path}/{self.by}={value}"
@@ -80,22 +93,21 @@ class Folder:
 class Workspace:
     """Tables written below the shared folder, so that lineage ends at files that outlive any executor.
 
-    `put` writes a DataFrame and returns it read back; `drop` deletes one that is no longer needed.
-    What is left is deleted when the Python process ends.
+    `put` writes a DataFrame and returns it read back; `drop` deletes one that is no longer needed. What is left stays
+    until `release`, as results are read after the operator has returned, or until Python ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/wakegraph-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-        atexit.register(self._clean)
+        _OPEN.add(self.root)
 
     def put(self, df: DataFrame, *partition_by: str) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out.__dict__["_wakegraph_path"] = path  # the path goes with the DataFrame, not with an id that may be given again
         return out
 
     def put_seen(self, df: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, bool]]:
@@ -103,28 +115,42 @@ class Workspace:
 
         Only whether a count is zero is used: a task that runs again may be counted twice.
         """
-        from pyspark.sql import functions as F
-
-        seen = Observation()
-        out = self.put(df.observe(seen, *[F.count_if(c).alias(n) for n, c in conditions.items()]))
-        got = seen.get
-        return out, {n: bool(got.get(n)) for n in conditions}
+        df, seen = _observed(df, conditions)
+        out = self.put(df)
+        return out, {n: bool(seen.get.get(n)) for n in conditions}
 
     def folder(self, like: DataFrame, by: str) -> Folder:
         """An empty table to be filled piece by piece, filed by the column `by`."""
         return Folder(self.spark, f"{self.root}/{uuid.uuid4().hex}", like, by)
 
     def drop(self, df: DataFrame | None) -> None:
-        if df is not None and (path := self.paths.pop(id(df), None)):
-            self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-    def _clean(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # the JVM may already be gone
-            pass
+        """Deletes a table that put gave; others, and tables of other workspaces, stay."""
+        path = None if df is None else df.__dict__.get("_wakegraph_path")
+        if path and path.startswith(f"{self.root}/"):
+            del df.__dict__["_wakegraph_path"]
+            _delete(self.spark, path)
+
+
+_OPEN: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the written intermediates of all operators run so far; DataFrames over them can't be read any more."""
+    while _OPEN:
+        _delete(spark, _OPEN.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _clean() -> None:
+    try:
+        if (spark := SparkSession.getActiveSession()) is not None:
+            release(spark)
+            for root in _FALLBACK.values():
+                _delete(spark, root)
+    except Exception:  # the JVM may already be gone
+        pass
