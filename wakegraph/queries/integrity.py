@@ -119,6 +119,21 @@ SELECT a.child AS class_fqn, min(a.parent) AS cycle_fqn
 FROM reach a JOIN reach b ON a.child = b.parent AND a.parent = b.child
 GROUP BY a.child""",
     "p1_descendants": f"WITH RECURSIVE {_LINKS} SELECT parent AS ancestor, child AS descendant FROM reach",
+    "p1_hierarchy": f"""WITH RECURSIVE {_LINKS},
+cyc AS (SELECT a.child AS node, min(a.parent) AS vertex FROM reach a JOIN reach b ON a.child = b.parent AND a.parent = b.child GROUP BY a.child),
+nodes AS (SELECT child AS node FROM links UNION SELECT parent FROM links),
+members AS (SELECT node, coalesce(vertex, node) AS vertex, vertex IS NOT NULL AS on_cycle FROM nodes LEFT JOIN cyc USING (node)),
+arcs AS (SELECT DISTINCT c.vertex AS child, p.vertex AS parent FROM links l JOIN members c ON c.node = l.child JOIN members p ON p.node = l.parent WHERE c.vertex <> p.vertex),
+climbs AS (SELECT DISTINCT vertex, 0 AS level FROM members UNION SELECT parent, level + 1 FROM climbs JOIN arcs ON child = vertex),
+levels AS (SELECT vertex, max(level) AS level FROM climbs GROUP BY vertex),
+chosen AS (SELECT child, first(parent ORDER BY level DESC, parent) AS parent FROM arcs JOIN levels ON vertex = parent GROUP BY child),
+paths AS (
+  SELECT vertex, vertex AS root, 0 AS depth, vertex AS path FROM levels WHERE vertex NOT IN (SELECT child FROM arcs)
+  UNION ALL SELECT c.child, root, depth + 1, path || '/' || c.child FROM paths JOIN chosen c ON c.parent = paths.vertex
+),
+below AS (SELECT parent AS node, count(*) AS n FROM reach GROUP BY parent)
+SELECT m.node AS class_fqn, root AS root_fqn, depth, path, on_cycle, level, coalesce(n, 0) AS n_descendants
+FROM members m JOIN paths USING (vertex) JOIN levels USING (vertex) LEFT JOIN below b ON b.node = m.node""",
     "p3_found": f"WITH {_ENDS} SELECT edge_id, endpoint FROM orphans",
     "p3_report": f"""WITH {_ENDS},
 born AS (SELECT fqn, min(recorded_at) AS born FROM method_nodes GROUP BY fqn),
