@@ -25,4 +25,18 @@ def test_all_lines_of_a_method_are_evidence(spark):
 def test_names_cut_off_early_have_candidates(spark):
     s = spark.createDataFrame([(i, i, f, "METHOD", None, None, None, "k", 1) for i, f in enumerate(("io.x.Shop.s…", "io.x.Shop.se...", "io.x.Shop.sel…", "io.x.Shop.sell…", "io.x.Shop.selle…", "io.x.Shop._…", "io.x.Shop.b…"))], SYMBOLS)
     got = {(r.symbol_id, r.method_fqn) for r in matching.candidates(s, spark.createDataFrame([("io.x.Shop.sellAll(int)", 1, 2, None, "k"), ("io.x.Shop.go()", 1, 2, None, "k")], METHODS)).collect()}
-    assert got == {(i, "io.x.Shop.sellAll(int)") for i in (0, 1, 2, 3, 5)} | {(5, "io.x.Shop.go()")}
+    assert got == {(i, "io.x.Shop.sellAll(int)") for i in (0, 1, 2, 3, 4, 5)} | {(5, "io.x.Shop.go()")}  # 4 with a letter replaced
+
+
+def test_misspelt_names_cut_off_have_candidates(spark):
+    cut = ("io.x.Shop.porc…", "io.x.Shop.rpocess…", "io.x.Shop.pocessR…", "io.x.Shop.prrocess…", "io.x.Shop.xyz…", "io.x.Shop.px…")
+    s = spark.createDataFrame([(i, i, f, "METHOD", None, None, None, "k", 1) for i, f in enumerate(cut)], SYMBOLS)
+    m = spark.createDataFrame([("io.x.Shop.processRequest(int)", 1, 2, None, "k"), ("io.x.Shop.go()", 1, 2, None, "k")], METHODS)
+    assert {(r.symbol_id, r.method_fqn) for r in matching.candidates(s, m).collect()} == {(i, "io.x.Shop.processRequest(int)") for i in range(4)}
+
+
+def test_swinging_messages_come_to_rest(spark):
+    """Many rivals of one strength on one place: the messages swing, and end without a bound on the rounds."""
+    pairs = [(f"s{i}", f"p{i % 3}", 6.0) for i in range(12)] + [(f"s{i}", f"p{(i + 1) % 3}", 6.0) for i in range(12)]
+    got = matching.propagate(spark.createDataFrame(pairs, "symbol string, place string, score double")).collect()
+    assert len(got) == 24 and all(0 <= r.belief <= 1 for r in got)

@@ -10,22 +10,23 @@ odds) then exchange messages with the pairs until they stand still, and give eac
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakegraph.session import Workspace
 
-ROUNDS = 40  # at most; messages stand still long before
-UNDAMPED = 8  # rounds after which messages move half way only
-STILL = 1e-4
+UNDAMPED, DAMPED = 8, 40  # rounds after which messages move half way only, and less and less
+HALVING = 20  # further rounds after which their step is halved again
+STILL = 1e-4  # a step below which messages stand still
 TWICE = 0.02  # what a place leaves to a further symbol: rows may name a method twice
 THRESHOLD = 0.4
+PREFIX = 4  # letters of a cut-off name that lead to its candidates
 
-_PARAMETER = re.compile(r"^(?:final\s+)?(.*?)(?:\s+[A-Za-z_$][\w$]*)?$")
 _COUNT = re.compile(r"^\s*(\d+)\s+args?\s*$")
 
 
@@ -96,11 +97,6 @@ def plain(name: str) -> str:
     return name.replace("_", "").lower()
 
 
-def spellings(name: str) -> list[str]:
-    """The name and all its spellings with one letter left out."""
-    return list({name, *(name[:i] + name[i + 1 :] for i in range(len(name)))}) if name != "<init>" else [name]
-
-
 def letters_apart(a: str, b: str) -> int:
     """Edits (insert, delete, replace, swap of neighbours) between two words; 3 stands for more than 2."""
     if a == b:
@@ -149,14 +145,15 @@ def log_odds(symbol, method, path: str | None, lines, spans) -> float | None:
     score = -1.0  # against a match at all, for one in a class of this name
     a, b = plain(name), plain(m_name)
     if knowledge == "name":
-        if not b.startswith(a):
+        apart = 0 if b.startswith(a) else min(letters_apart(a, b[: len(a) + d]) for d in (-1, 0, 1)) if len(a) > 2 else 3
+        if apart > 1:
             return None
-        score += 3.0
+        score += (3.0, 1.0)[apart]
     else:
         apart = letters_apart(a, b)
-        if apart > 1 and not (apart == 2 and len(a) > 8):
+        if apart > 2 or apart == 2 and min(len(a), len(b)) < 4:
             return None
-        score += (4.0, 1.5, -0.5)[apart] + (0.5 if name == m_name else 0.0)
+        score += (4.0, 1.5, -0.5 if len(a) > 8 else -1.5)[apart] + (0.5 if name == m_name else 0.0)
     alike = _ends_alike(parts, m_parts)
     if not parts or alike == len(parts) < len(m_parts):  # the package is lost, at most outer classes stand
         folders = _path_parts(path)
@@ -201,38 +198,38 @@ def log_odds(symbol, method, path: str | None, lines, spans) -> float | None:
     return score
 
 
-def _keys(parsed) -> list[str]:
-    _, owner, name, knowledge, _, _ = parsed
-    if knowledge == "name":
-        return [f"{owner}\t^{plain(name)[:4]}"]
-    return [f"{owner}\t{s}" for s in spellings(plain(name))]
+def spellings(name: Column) -> Column:
+    """A name and all its spellings with one letter left out."""
+    without = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))
+    return F.when(name == "<init>", F.array(name)).otherwise(F.array_distinct(F.concat(F.array(name), without)))
 
 
-def candidates(symbols: DataFrame, methods: DataFrame) -> DataFrame:
-    """(symbol_id, patch_id, file_path, start_line, method_fqn, score) of all pairs that no attribute rules out."""
+def parsed(df: DataFrame, column: str) -> DataFrame:
+    """df with owner, plain (name), knowledge, types (joined) and count of the written method in a column."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    at = df.columns.index(column)
 
-    def symbol_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            index, keys = [], []
-            for i, fqn in enumerate(batch.column(2).to_pylist()):
-                own = _keys(read_name(fqn))
-                index += [i] * len(own)
-                keys += own
-            at = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[c.take(at) for c in batch.columns]], names=["key", *batch.schema.names])
-
-    def method_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, keys = [], []
-            for i, fqn in enumerate(batch.column(0).to_pylist()):
-                parsed = read_name(fqn)
-                short = {plain(parsed[2])[:n] for n in range(5)}  # a symbol's name may be cut off anywhere
-                own = [*_keys(parsed), *(f"{parsed[1]}\t^{x}" for x in short)]
-                index += [i] * len(own)
-                keys += own
-            at = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[c.take(at) for c in batch.columns]], names=["key", *batch.schema.names])
+            read = [read_name(x) for x in batch.column(at).to_pylist()]
+            own = [[r[1] for r in read], [plain(r[2]) for r in read], [r[3] for r in read], [",".join(r[4]) for r in read]]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array(x, pa.string()) for x in own], pa.array([r[5] for r in read], pa.int32())],
+                names=[*batch.schema.names, "owner", "plain", "knowledge", "types", "count"],
+            )
+
+    return df.mapInArrow(work, f"{schema}, owner string, plain string, knowledge string, types string, count int")
 
+
+def candidates(symbols: DataFrame, methods: DataFrame) -> DataFrame:
+    """(symbol_id, patch_id, file_path, start_line, method_fqn, score) of all pairs that no attribute rules out.
+
+    Pairs have the class in common and a spelling of the name with at most one letter left out; where the symbol knows
+    them, the types or their number too, so that a name that very many classes have falls into smaller blocks. Names
+    cut off within the method meet by the spellings of their first letters. What is joined are hashes and row numbers;
+    the score compares the names themselves.
+    """
+    space = Workspace(symbols.sparkSession)
     wanted = symbols.where(F.col("kind").isin("METHOD", "CONSTRUCTOR") & F.col("fqn").isNotNull()).select(
         "symbol_id", "patch_id", "fqn", "file_path", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line")
     )
@@ -241,9 +238,25 @@ def candidates(symbols: DataFrame, methods: DataFrame) -> DataFrame:
     known = methods.where(F.col("fqn").isNotNull() & ~F.col("fqn").endswith("(?)")).groupBy(F.col("fqn").alias("method_fqn")).agg(
         F.collect_set(F.when(F.col("start_line").isNotNull(), lines)).alias("spans")
     )
-    left = wanted.mapInArrow(symbol_keys, "key string, " + ", ".join(f"{n} {k}" for n, k in kinds.items()))
-    right = known.mapInArrow(method_keys, "key string, method_fqn string, spans array<struct<s: int, e: int>>")
-    pairs = left.join(right, "key").drop("key").dropDuplicates(["symbol_id", "method_fqn"])
+    # numbers must not change when a task runs again, so they are written before use
+    left = space.put(parsed(wanted, "fqn").withColumn("s", F.monotonically_increasing_id()))
+    right = space.put(parsed(known, "method_fqn").join(left.select("owner").distinct(), "owner", "left_semi").withColumn("m", F.monotonically_increasing_id()))
+    spelled = lambda *more: F.transform(spellings(F.col("plain")), lambda x: F.xxhash64(F.lit("name"), "owner", x, *more))
+    first = F.substring("plain", 1, PREFIX)
+    begun = lambda x: F.xxhash64(F.lit("begin"), "owner", x)
+    know = F.col("knowledge")
+    own = (
+        F.when(know == "all", spelled(F.lit("types"), F.col("types"), F.col("count"))).when(know == "count", spelled(F.lit("count"), F.col("count")))
+        .when(know == "name", F.when(F.length("plain") < PREFIX, F.array(begun(first))).otherwise(F.transform(spellings(first), begun))).otherwise(spelled())
+    )
+    told = F.concat(spelled(F.lit("types"), F.col("types"), F.col("count")), spelled(F.lit("count"), F.col("count")), spelled())
+    cut = left.where(know == "name").select("owner").distinct()
+    # a symbol's name may be cut off anywhere, even before its first letters are complete
+    shorter = F.transform(F.sequence(F.lit(0), F.lit(PREFIX - 1)), lambda n: F.substring("plain", F.lit(1), n))
+    heads = right.join(cut, "owner", "left_semi").select("m", F.explode(F.transform(F.array_distinct(F.concat(shorter, spellings(first))), begun)).alias("key"))
+    keys = right.select("m", F.explode(told).alias("key")).unionByName(heads)
+    met = left.select("s", F.explode(own).alias("key")).join(keys, "key").select("s", "m").distinct()
+    pairs = met.join(left.select("s", *kinds), "s").join(right.select("m", "method_fqn", "spans"), "m").drop("s", "m").dropDuplicates(["symbol_id", "method_fqn"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict[str, tuple] = {}
@@ -272,24 +285,27 @@ def propagate(pairs: DataFrame) -> DataFrame:
 
     A symbol belongs to at most one place, and a place to one symbol, to more with odds of TWICE. A pair sends each of
     its two factors what the other one leaves it; with w = exp(score) a factor's answer is 1 / (1 + the sum of
-    w * message of its other pairs), for a place at least TWICE. Sums travel as aggregates, so a place wanted by very many symbols is no group in one task. Pairs are unique.
+    w * message of its other pairs), for a place at least TWICE. Sums travel as aggregates, so a place wanted by very
+    many symbols is no group in one task. Pairs are unique. Rounds go on until no message moves by STILL or more; ever
+    smaller steps bring those to rest that would swing, which a warning then tells.
     """
     space = Workspace(pairs.sparkSession)
-    state = space.put(pairs.withColumn("w", F.exp(F.least("score", F.lit(30.0)))).withColumn("from_place", F.lit(1.0)).withColumn("moved", F.lit(1.0)))
-    for k in range(ROUNDS):
+    state = space.put(pairs.withColumn("w", F.exp(F.least("score", F.lit(30.0)))).withColumn("from_place", F.lit(1.0)).withColumn("off", F.lit(0.0)))
+    k = 0
+    while True:
+        step = 1.0 if k < UNDAMPED else 0.5 ** (1 + max(0, k - DAMPED) // HALVING)
         by_symbol = state.groupBy("symbol").agg(F.sum(F.col("w") * F.col("from_place")).alias("all_places"))
         told = state.join(by_symbol, "symbol").withColumn("from_symbol", 1 / (1 + F.greatest(F.col("all_places") - F.col("w") * F.col("from_place"), F.lit(0.0)))).drop("all_places")
         by_place = told.groupBy("place").agg(F.sum(F.col("w") * F.col("from_symbol")).alias("all_symbols"))
         answer = F.greatest(1 / (1 + F.greatest(F.col("all_symbols") - F.col("w") * F.col("from_symbol"), F.lit(0.0))), F.lit(TWICE))
-        nxt = (
-            told.join(by_place, "place").withColumn("new", answer)
-            .withColumn("moved", F.abs(F.col("new") - F.col("from_place"))).withColumn("from_place", F.col("new") if k < UNDAMPED else (F.col("new") + F.col("from_place")) / 2)
-        )
-        kept = space.put(nxt.select(*state.columns))
+        nxt = told.drop("off").join(by_place, "place").withColumn("off", F.abs(answer - F.col("from_place"))).withColumn("from_place", F.col("from_place") + step * (answer - F.col("from_place")))
+        kept, seen = space.put_seen(nxt.select(*state.columns), moving=F.col("off") * step >= STILL, swinging=F.col("off") >= 100 * STILL)
         space.drop(state)
-        state = kept
-        if (state.agg(F.max("moved")).first()[0] or 0.0) < STILL:
+        state, k = kept, k + 1
+        if not seen["moving"]:
             break
+    if seen["swinging"]:
+        warnings.warn(f"messages came to rest by damping only, after {k} rounds", stacklevel=2)
     by_symbol = state.groupBy("symbol").agg(F.sum(F.col("w") * F.col("from_place")).alias("all_places"))
     # the marginals of a symbol's pairs and of having none add up to 1
     return state.join(by_symbol, "symbol").withColumn("belief", F.col("w") * F.col("from_place") / (1 + F.col("all_places"))).select(*pairs.columns, "belief")
@@ -299,9 +315,9 @@ def match_symbols(symbols: DataFrame, methods: DataFrame, threshold: float = THR
     """(symbol_id, method_fqn, confidence) of every METHOD or CONSTRUCTOR symbol; null method and 0.0 for none.
 
     symbols: symbol_id, patch_id, fqn, kind, file_path, start_line, end_line; methods: fqn, start_line, end_line,
-    recorded_at; other columns are ignored. A symbol's method is its most probable candidate if the probability is at
-    least `threshold`, the least name among equals. Rows of one patch that name the same lines may be the same method
-    twice, so a method is one place for each patch, file and starting line. Rows with a null fqn have no method.
+    other columns are ignored. A symbol's method is its most probable candidate if the probability is at least
+    `threshold`, the least name among equals. A method is one place for each patch, file and starting line: rows that
+    differ in one of them are no rivals for it. Rows with a null fqn have no method.
     """
     space = Workspace(symbols.sparkSession)
     found = candidates(symbols, methods)
