@@ -65,28 +65,29 @@ def trim(space: Workspace, edges: DataFrame) -> tuple[DataFrame, DataFrame | Non
     already had a via leaves (via, into) behind. Rounds end when nothing was peeled. The degrees are aggregates and the
     links of a hot node stay where they are, on the side of the joins that may be split.
     """
-    left, pointers, number = edges, None, 0
+    # what differs from round to round is in the rows, so that the code of a round is compiled once
+    left, pointers = edges.withColumn("turn", F.lit(0)), None
     while True:
         end = lambda node, c, p: F.struct(F.col(node).alias("node"), c.alias("c"), p.alias("p"))
         none = F.lit(None).cast("long")
-        ends = left.select(F.explode(F.array(end("child", none, F.col("parent")), end("parent", F.col("child"), none))).alias("e")).select("e.*")
-        degrees = ends.groupBy("node").agg(F.min("c").alias("c"), F.max("c").alias("c2"), F.min("p").alias("p"), F.max("p").alias("p2"))
-        mark = lambda n: F.xxhash64(F.lit(number), n)
+        ends = left.select(F.explode(F.array(end("child", none, F.col("parent")), end("parent", F.col("child"), none))).alias("e"), "turn").select("e.*", "turn")
+        degrees = ends.groupBy("node").agg(F.max("turn").alias("turn"), F.min("c").alias("c"), F.max("c").alias("c2"), F.min("p").alias("p"), F.max("p").alias("p2"))
+        mark = lambda n: F.xxhash64("turn", n)
         inner = (F.col("c") == F.col("c2")) & (F.col("p") == F.col("p2")) & (mark("node") < mark("c")) & (mark("node") < mark("p"))
         ended = F.col("c").isNull() | F.col("p").isNull()
-        out, peeled = space.put_seen(degrees.withColumn("ended", ended).where(ended | inner).select("node", "ended", "c", "p"), any=F.col("ended"))
+        out, peeled = space.put_seen(degrees.withColumn("ended", ended).where(ended | inner).select("node", "ended", "c", "p", "turn"), any=F.col("ended"))
         at = lambda side: out.select(F.col("node").alias(side), F.col("ended").alias(f"{side}_ended"), F.when(~F.col("ended"), F.col("node")).alias(f"{side}_into"))
         met = left.join(at("child"), "child", "left").join(at("parent"), "parent", "left")
         kept = F.col("child_ended").isNull() & F.col("parent_ended").isNull()
         into = F.coalesce("child_into", "parent_into")
-        rows = met.where(kept | (F.col("via").isNotNull() & into.isNotNull())).select("child", "parent", "via", F.when(~kept, into).alias("into"), F.coalesce("child_ended", "parent_ended", F.lit(False)).alias("ended"))
-        joined = out.where("not ended").select(F.col("c").alias("child"), F.col("p").alias("parent"), F.col("node").alias("via"), F.lit(None).cast("long").alias("into"), F.lit(False).alias("ended"))
+        rows = met.where(kept | (F.col("via").isNotNull() & into.isNotNull())).select("child", "parent", "via", F.when(~kept, into).alias("into"), (F.col("turn") + 1).alias("turn"))
+        joined = out.where("not ended").select(F.col("c").alias("child"), F.col("p").alias("parent"), F.col("node").alias("via"), F.lit(None).cast("long").alias("into"), (F.col("turn") + 1).alias("turn"))
         now, seen = space.put_seen(rows.unionByName(joined), left=F.col("into").isNull())
         moved = now.where("into is not null").select("via", "into")
         pointers = moved if pointers is None else pointers.unionByName(moved)
-        left, number = now.where("into is null").select("child", "parent", "via"), number + 1
+        left = now.where("into is null").select("child", "parent", "via", "turn")
         if not (peeled["any"] and seen["left"]):
-            return left, pointers, seen["left"]
+            return left.drop("turn"), pointers, seen["left"]
 
 
 def least_reaching(space: Workspace, edges: DataFrame) -> DataFrame:
