@@ -2,7 +2,7 @@ import subprocess
 
 import pytest
 
-from wakegraph.operators.intervals import anchored_shift
+from wakegraph.operators.intervals import anchored_shift, reconciled
 from wakegraph.plans.ingest import counts, ingest
 from wakegraph.sources import config, files, patches
 from wakegraph.sources.java_source import read_java
@@ -55,6 +55,34 @@ def test_deleted_declarations(spark):
     assert got == {("CLASS", "C", None, 1), ("CONSTRUCTOR", "C", "String,Map", 2), ("METHOD", "run", "int[]", 3)}
 
 
+def test_deleted_declarations_are_qualified(spark):
+    text = """--- a/x/Top.java
++++ b/x/Top.java
+@@ -1,7 +1,3 @@
+ package a.b;
+-public class Top {
+-  Top(int x) { super(x); }
+-  int one() { return 1; }
+-  static class Inner {
+-    Inner() {}
+ }
+"""
+    p = spark.createDataFrame([(1, text), (2, text.replace(" package a.b;", " "))], "patch_id long, text string")
+    got = {(r.patch_id, r.kind, r.fqn, r.line_no) for r in patches.deleted_declarations(p).collect()}
+    own = {("CLASS", "Top", 2), ("CONSTRUCTOR", "Top.<init>(int)", 3), ("METHOD", "Top.one()", 4), ("CLASS", "Inner", 5)}
+    assert got == {(1, k, "a.b." + f, n) for k, f, n in own} | {(2, k, f, n) for k, f, n in own}
+
+
+def test_hunks_are_moved_and_cut_to_the_file(spark):
+    source = ["."] * 7 + ["context above", "", "first added line of the hunk", "}", "  context below "]
+    s = spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(source)], "file_path string, line_no int, text string")
+    rows = [("h", "f", 5 + i, t, a) for i, (t, a) in enumerate([("context above", False), ("", False), ("first added line of the hunk", True), ("}", True), ("context below", False)])]
+    h = spark.createDataFrame(rows, "hunk_id string, path string, line_no int, text string, added boolean")
+    edits = spark.createDataFrame([("exact", "f", 5, 9), ("inside", "f", 7, 30), ("none", "f", 40, 41), ("other", "g", 5, 6)], "edit_id string, file_path string, h_start int, h_end int")
+    got = {r.edit_id: (r.new_start, r.new_end) for r in reconciled(edits, patches.hunk_contents(h), patches.anchors(h), s).collect()}
+    assert got == {"exact": (8, 12), "inside": (10, 12), "none": (40, 41), "other": (5, 6)}
+
+
 def shift(spark, start, source):
     lines = [("h", "f", start + i, t, a) for i, (t, a) in enumerate([("context above", False), ("first added line of the hunk", True), ("x", True), ("y", True), ("context below", False)])]
     h = spark.createDataFrame(lines, "hunk_id string, path string, line_no int, text string, added boolean")
@@ -66,7 +94,7 @@ def test_hunks_find_their_lines(spark):
     block = ["context above", "first added line of the hunk", "x", "y", "  context below "]
     assert shift(spark, 5, ["."] * 7 + block + ["."]) == [3]
     assert shift(spark, 1, block) == [0]
-    assert shift(spark, 9, ["context below"] + ["."] * 20 + ["context below"]) == [9]  # line 22 is nearer to 13 than line 1
+    assert shift(spark, 9, ["context below"] + ["."] * 20 + ["context below"]) == [-12]  # line 1 is nearer to where the hunk begins than line 22
     assert shift(spark, 5, ["nothing"]) == []
 
 

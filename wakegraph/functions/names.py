@@ -47,10 +47,15 @@ def parameter_text(fqn: Column) -> Column:
 
 
 def without_generics(text: Column) -> Column:
-    """The text without <...>, three levels deep."""
-    for _ in range(3):
-        text = F.regexp_replace(text, r"<[^<>]*>", "")
-    return text
+    """The text without <...>, however deep: what stands where as many brackets have been closed as opened."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+
+    def step(state: Column, part: Column) -> Column:
+        depth = state["depth"] + F.when(part == "<", 1).when(part == ">", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.when((state["depth"] == 0) & (depth == 0), F.concat(state["kept"], part)).otherwise(state["kept"]).alias("kept"))
+
+    walked = F.aggregate(F.regexp_extract_all(text, F.lit("[<>]|[^<>]+"), 0), start, step, lambda state: state["kept"])
+    return F.when(text.contains("<") | text.contains(">"), walked).otherwise(text)
 
 
 def parameter_count(fqn: Column) -> Column:
@@ -105,6 +110,13 @@ def file_name(path: Column) -> Column:
     return F.substring_index(clean_path(path), "/", -1)
 
 
+def source_path(path: Column) -> Column:
+    """A source file's path below its source root (`java/`, else as it stands), without extension."""
+    c = clean_path(path)
+    below = F.regexp_extract(c, r"(?:^|/)java/(.+)\.[^./]*$", 1)
+    return F.when(below != "", below).otherwise(F.regexp_extract(c, r"^(.*)\.[^./]*$", 1))
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r"\.([^.]+)$", 1))
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_LINE_ENDS = re.compile(r"\r\n|\r|\n")
 _HEADER = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
@@ -62,7 +63,7 @@ def parse_patch(text: str) -> list[FileChange]:
     out: list[FileChange] = []
     current: FileChange | None = None
     old_left = new_left = 0
-    for line in text.splitlines():
+    for line in _LINE_ENDS.split(text):
         if (old_left > 0 or new_left > 0) and current and current.hunks:
             sign = line[:1] or " "
             if sign in " +-":
@@ -166,46 +167,95 @@ def removed_lines(patches: DataFrame) -> DataFrame:
     return _over(patches, rows, "ordinal int, path string, line_no int, text string")
 
 
+ANCHOR, ADDED_ANCHOR = 8, 20  # least length of an anchor among context and among added lines
+
+
+def hunk_contents(lines: DataFrame) -> DataFrame:
+    """(hunk_id, file_path, b_start, n_lines) of hunk_lines with a hunk_id."""
+    return lines.groupBy("hunk_id", F.col("path").alias("file_path")).agg(F.min("line_no").alias("b_start"), F.count(F.lit(1)).cast("int").alias("n_lines"))
+
+
 def anchors(lines: DataFrame) -> DataFrame:
-    """(hunk_id, file_path, kind, expected, text) for intervals.anchored_shift, of hunk_lines with a hunk_id.
+    """(hunk_id, file_path, b_start, kind, expected, text) for intervals.anchored_shift, of hunk_lines with a hunk_id.
 
-    Kind 1: the last up to two lines if they are context; 2: the first up to two; 3: the first three added lines of at
-    least 20 characters. Blank lines are no anchors.
+    Kind 1: of the context after the last added line the last two lines of ANCHOR characters or more; 2: of that before
+    the first added line the first two; 3: the first three added lines of ADDED_ANCHOR characters or more.
     """
     from pyspark.sql import Window
 
-    by, back = Window.partitionBy("hunk_id").orderBy("line_no"), Window.partitionBy("hunk_id").orderBy(F.desc("line_no"))
-    long_added = F.col("added") & (F.length(F.trim("text")) >= 20)
-    ranked = (
-        lines.withColumn("a", F.row_number().over(by)).withColumn("z", F.row_number().over(back)).withColumn("k", F.sum(long_added.cast("int")).over(by))
+    hunk = Window.partitionBy("hunk_id")
+    by, back = hunk.orderBy("line_no"), hunk.orderBy(F.desc("line_no"))
+    bare = F.regexp_replace("text", r"^\s+|\s+$", "")
+    marked = (
+        lines.withColumn("length", F.length(bare)).withColumn("b_start", F.min("line_no").over(hunk))
         .withColumn("lead", F.sum(F.col("added").cast("int")).over(by)).withColumn("tail", F.sum(F.col("added").cast("int")).over(back))
-        .where(F.trim("text") != "")
     )
-    part = lambda cond, kind: ranked.where(cond).select("hunk_id", F.col("path").alias("file_path"), F.lit(kind).alias("kind"), F.col("line_no").alias("expected"), "text")
-    return part("z <= 2 and tail = 0", 1).unionByName(part("a <= 2 and lead = 0", 2)).unionByName(part(long_added & (F.col("k") <= 3), 3))
+    kinds = {1: ((F.col("tail") == 0) & (F.col("length") >= ANCHOR), back, 2), 2: ((F.col("lead") == 0) & (F.col("length") >= ANCHOR), by, 2), 3: (F.col("added") & (F.col("length") >= ADDED_ANCHOR), by, 3)}
+    out = None
+    for kind, (which, order, n) in kinds.items():
+        kept = marked.where(which).withColumn("k", F.row_number().over(order)).where(F.col("k") <= n)
+        part = kept.select("hunk_id", F.col("path").alias("file_path"), "b_start", F.lit(kind).alias("kind"), F.col("line_no").alias("expected"), "text")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-# Java words that look like the type before a method's name but aren't.
+# Java words that look like the type before a method's name, or like the name, but aren't.
 _NOT_TYPES = ("return", "new", "throw", "else", "case", "assert", "yield", "package", "import")
+_NOT_METHODS = ("if", "for", "while", "switch", "catch", "synchronized", "super", "this")
+
+
+_MODIFIERS = r"(?:public|protected|private|static|final|abstract|sealed|synchronized|native|default|strictfp)"
+_TYPE = rf"^\s*(?:{_MODIFIERS}\s+)*(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)"
+_METHOD = (
+    rf"^\s*(?:@\w+\s+)*((?:{_MODIFIERS}\s+)*)(?:<[^>]*>\s+)?((?:[A-Za-z_$][\w$.]*(?:<[^()]*>)?(?:\[\])*\s+)?)"
+    r"([A-Za-z_$][\w$]*)\s*\(([^()]*)\)\s*(?:throws\s+[\w$.,\s]+)?[{;]"
+)
+_PACKAGE = r"^\s*package\s+([A-Za-z_$][\w$.]*)\s*;"
+
+
+def old_lines(patches: DataFrame) -> DataFrame:
+    """(patch_id, ordinal, path, line_no, text, removed): the old side of every hunk, line by line."""
+
+    def rows(c: FileChange, n: int):
+        for h in c.hunks:
+            line = h.old_start
+            for text in h.lines:
+                if text[0] != "+":
+                    yield n, c.old_path or c.new_path, line, text[1:], text[0] == "-"
+                    line += 1
+
+    return _over(patches, rows, "ordinal int, path string, line_no int, text string, removed boolean")
 
 
 def deleted_declarations(patches: DataFrame) -> DataFrame:
-    """(patch_id, path, kind, name, params, line_no): Java types and methods declared on removed lines.
+    """(patch_id, path, kind, name, params, line_no, fqn): Java types and methods declared on removed lines.
 
-    Kinds are CLASS, INTERFACE, CONSTRUCTOR and METHOD; params are simple type names. A method whose name is that of a
-    type declared on a removed line before it, in the same file, is its constructor.
+    Kinds are CLASS, INTERFACE, CONSTRUCTOR and METHOD; params are simple type names. A line is tried as a type, then as
+    a constructor, whose name is that of the file, then as a method; a body may follow on the line. The name is
+    qualified by the last package line before it, removed or not, and a method's by the type that the file is named for.
     """
-    gone = removed_lines(patches).where(F.lower("path").endswith(".java"))
-    declared = r"^\s*(?:(?:public|protected|private|static|final|abstract|sealed|strictfp)\s+)*(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)"
-    method = r"^\s*(?:@\w+\s+)*((?:(?:public|protected|private|static|final|abstract|synchronized|native|default)\s+)*)(?:<[^>]*>\s+)?((?:[A-Za-z_$][\w$.]*(?:<[^()]*>)?(?:\[\])*\s+)?)([A-Za-z_$][\w$]*)\s*\(([^()]*)\)\s*(?:throws\s+[\w$.,\s]+)?[{;]?\s*$"
-    t = F.col("text")
-    types = gone.where(t.rlike(declared)).select("patch_id", "path", F.when(F.regexp_extract(t, declared, 1) == "interface", "INTERFACE").otherwise("CLASS").alias("kind"), F.regexp_extract(t, declared, 2).alias("name"), F.lit(None).cast("string").alias("params"), "line_no")
+    from pyspark.sql import Window
+
     from wakegraph.functions.names import parameter_types
 
-    first = F.trim(F.regexp_extract(t, method, 2))
-    m = gone.where(t.rlike(method)).select("patch_id", "path", F.trim(F.regexp_extract(t, method, 1)).alias("mods"), first.alias("type"), F.regexp_extract(t, method, 3).alias("name"), F.array_join(parameter_types(F.concat(F.lit("m("), F.regexp_extract(t, method, 4), F.lit(")"))), ",").alias("params"), "line_no")
-    m = m.where(~F.col("type").isin(*_NOT_TYPES) & ~F.col("name").isin("if", "for", "while", "switch", "catch", "synchronized", "super", "this"))
-    owners = types.groupBy("patch_id", "path", "name").agg(F.min("line_no").alias("from_line"))
-    joined = m.join(owners, ["patch_id", "path", "name"], "left").withColumn("ctor", (F.col("type") == "") & F.coalesce(F.col("line_no") > F.col("from_line"), F.lit(False)))
-    methods = joined.where("ctor or type <> ''").select("patch_id", "path", F.when(F.col("ctor"), "CONSTRUCTOR").otherwise("METHOD").alias("kind"), "name", "params", "line_no")
-    return types.unionByName(methods)
+    t = F.col("text")
+    lines = old_lines(patches).where(F.lower("path").endswith(".java"))
+    so_far = Window.partitionBy("patch_id", "ordinal").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(t.rlike(_PACKAGE), F.concat(F.regexp_extract(t, _PACKAGE, 1), F.lit(".")))
+    gone = lines.withColumn("pkg", F.coalesce(F.last(own, ignorenulls=True).over(so_far), F.lit(""))).where("removed")
+    top = F.regexp_extract("path", r"([^/\\\\]+)\.[^.]*$", 1)
+    part = lambda n: F.trim(F.regexp_extract(t, _METHOD, n))
+    params = F.array_join(parameter_types(F.concat(F.lit("m("), part(4), F.lit(")"))), ",")
+    seen = gone.select(
+        "patch_id", "path", "line_no", "pkg", top.alias("top"), F.regexp_extract(t, _TYPE, 1).alias("word"), F.regexp_extract(t, _TYPE, 2).alias("type_name"),
+        part(2).alias("returns"), part(3).alias("method"), params.alias("params"),
+    )
+    is_type = F.col("word") != ""
+    is_ctor = ~is_type & (F.col("method") == F.col("top")) & (F.col("returns") == "")
+    is_method = ~is_type & (F.col("method") != "") & (F.col("method") != F.col("top")) & (F.col("returns") != "") & ~F.col("returns").isin(*_NOT_TYPES) & ~F.col("method").isin(*_NOT_METHODS)
+    kind = F.when(is_type, F.when(F.col("word") == "interface", "INTERFACE").otherwise("CLASS")).when(is_ctor, "CONSTRUCTOR").when(is_method, "METHOD")
+    name = F.when(is_type, F.col("type_name")).otherwise(F.col("method"))
+    inside = F.concat("pkg", "top", F.lit("."), F.when(is_ctor, "<init>").otherwise(F.col("method")), F.lit("("), "params", F.lit(")"))
+    return seen.withColumn("kind", kind).where("kind is not null").select(
+        "patch_id", "path", "kind", name.alias("name"), F.when(~is_type, F.col("params")).alias("params"), "line_no", F.when(is_type, F.concat("pkg", "type_name")).otherwise(inside).alias("fqn")
+    )
