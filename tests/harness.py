@@ -9,6 +9,8 @@ import time
 import duckdb
 import pandas as pd
 
+from wakegraph.session import release
+
 DATA = os.environ.get("WAKEGRAPH_TESTDATA", "/root/testdata")
 
 
@@ -44,6 +46,7 @@ def compare(spark, con, name: str, query, sql: str | None, base: str) -> tuple[b
     began = time.time()
     df = query(spark, base)
     got = rows_of(df.columns, [list(r) for r in df.collect()])
+    release(spark)
     took = time.time() - began
     if sql is None:
         return True, f"{name}: {len(got)} rows, no SQL, {took:.1f} s"

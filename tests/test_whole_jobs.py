@@ -17,7 +17,7 @@ tables = pytest.mark.skipif(not os.path.isdir(BASE), reason="no test tables here
 
 @tables
 def test_rekeying_takes_every_part_and_meets_both_branches(spark):
-    moved = all_queries()["rekey_constants_whole"](spark, BASE).join(spark.read.parquet(f"{BASE}/orders.parquet").select(F.col("o_orderkey").alias("src"), "o_custkey"), "src")
+    moved = all_queries()["rekey_constants"](spark, BASE).join(spark.read.parquet(f"{BASE}/orders.parquet").select(F.col("o_orderkey").alias("src"), "o_custkey"), "src")
     unique = moved.where(F.col("dst").contains("Constants."))
     assert unique.where("o_custkey % 7 >= 2").count() > 0
     sizes = spark.read.parquet(f"{BASE}/part.parquet").select(F.col("p_size").alias("o_custkey")).distinct()

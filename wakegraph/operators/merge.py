@@ -139,3 +139,16 @@ def apply_rules(covers: DataFrame, rules: DataFrame, methods: DataFrame | None =
     c = covers.groupBy(*keys).agg(F.max("confidence").alias("confidence"))
     joined = c.join(last, keys, "full_outer")
     return joined.where(F.col("op").isNull() | (F.col("op") == "add")).select(*keys, F.when(F.col("op") == "add", 1.0).otherwise(F.col("confidence")).alias("confidence"))
+
+
+def covers_edges(cases: DataFrame, claims: DataFrame, nodes: dict[str, DataFrame]) -> DataFrame:
+    """(test_id, kind, key, confidence): claims whose node exists, and one SUITE row for each case with a suite.
+
+    cases: test_id, suite; claims: test_id, kind, key, confidence; nodes: by kind a table with key. Claims of other
+    kinds, of unknown nodes and of unknown cases give nothing; of equal claims the greatest confidence counts.
+    """
+    own = claims.join(cases.select("test_id").distinct(), "test_id", "left_semi").groupBy("test_id", "kind", "key").agg(F.max("confidence").alias("confidence"))
+    out = cases.where("suite <> ''").select("test_id", F.lit("SUITE").alias("kind"), F.col("suite").alias("key"), F.lit(1.0).alias("confidence")).distinct()
+    for kind, known in nodes.items():
+        out = out.unionByName(own.where(F.col("kind") == kind).join(known.select("key").distinct(), "key", "left_semi").select("test_id", "kind", "key", "confidence"))
+    return out

@@ -115,3 +115,14 @@ def fuzzy_methods(inputs: DataFrame, methods: DataFrame) -> DataFrame:
     parts = i.withColumn("owner", owner).withColumn("simple", F.when(simple == names.simple_name(owner), "<init>").otherwise(simple)).withColumn("n_params", names.parameter_count(F.col("clean")))
     near = parts.join(methods.select("fqn", "owner", "simple", "n_params").distinct(), ["owner", "simple", "n_params"]).select("input", "fqn", F.lit(2).alias("tier"))
     return best_tier(exact.unionByName(near), ["input"])
+
+
+def strategy_table(calls: DataFrame) -> DataFrame:
+    """(strategy, n, average, percent, place) of calls(strategy, took): most frequent first, by name among equals.
+
+    One row a strategy is ranked; the calls themselves are aggregated before.
+    """
+    counted = calls.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("took"), 6).alias("average"))
+    whole = Window.partitionBy(F.lit(1))
+    percent = F.round(100.0 * F.col("n") / F.sum("n").over(whole), 6)
+    return counted.select("strategy", "n", "average", percent.alias("percent"), F.row_number().over(whole.orderBy(F.desc("n"), "strategy")).alias("place"))

@@ -80,6 +80,15 @@ def shortest_chains(pairs: DataFrame, edges: DataFrame, max_hops: int) -> DataFr
     return chains.select("src", "dst", "length", "chain")
 
 
+def chain_types(chains: DataFrame, edges: DataFrame) -> DataFrame:
+    """chains(src, dst, chain) with `types`, the types of the edges between neighbours; edges: src, dst, etype."""
+    steps = chains.select("src", "dst", F.posexplode(F.arrays_zip(F.slice("chain", F.lit(1), F.size("chain") - 1).alias("a"), F.slice("chain", F.lit(2), F.size("chain") - 1).alias("b"))).alias("n", "e"))
+    typed = steps.select("src", "dst", "n", F.col("e.a").alias("a"), F.col("e.b").alias("b")).join(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "etype"), ["a", "b"])
+    # a chain is no longer than the hops it was looked for
+    listed = typed.groupBy("src", "dst").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "etype"))), lambda x: x["etype"]).alias("types"))
+    return chains.join(listed, ["src", "dst"])
+
+
 def closure(links: DataFrame) -> DataFrame:
     """(child, ancestor, depth) over (child, parent) links, cycle-safe, each pair with its least depth.
 
@@ -103,3 +112,23 @@ def closure(links: DataFrame) -> DataFrame:
 def collected(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
     """Distinct values of a key as one text, sorted, `,` between."""
     return df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(value)), ",").alias(name))
+
+
+def instantiators(types: DataFrame, calls: DataFrame, sent: DataFrame, urls: DataFrame) -> DataFrame:
+    """(class_fqn, maker, n_notifications, n_urls, n_callers): methods that call a constructor of the types.
+
+    types: class_fqn; calls: src, dst, distinct; sent: src, dst (notifications); urls: src, url. Each count is grouped
+    by method before it is joined.
+    """
+    from wakegraph.functions.names import method_owner, method_simple
+
+    made = calls.select(F.col("src").alias("maker"), method_owner(F.col("dst")).alias("class_fqn"), method_simple(F.col("dst")).alias("called")).where("called = '<init>'")
+    made = made.join(types.select("class_fqn").distinct(), "class_fqn", "left_semi").select("class_fqn", "maker").distinct()
+    counts = {
+        "n_notifications": sent.groupBy(F.col("src").alias("maker")).agg(F.count_distinct("dst").alias("n_notifications")),
+        "n_urls": urls.groupBy(F.col("src").alias("maker")).agg(F.count_distinct("url").alias("n_urls")),
+        "n_callers": calls.groupBy(F.col("dst").alias("maker")).agg(F.count(F.lit(1)).alias("n_callers")),
+    }
+    for name, df in counts.items():
+        made = made.join(df, "maker", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return made.select("class_fqn", "maker", *counts)

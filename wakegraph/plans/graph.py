@@ -29,6 +29,15 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.base, name)
 
+    def sql(self, text: str) -> DataFrame:
+        """A query text over the tables, each a view by its name."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        for status in folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder):
+            file = status.getPath().getName()
+            if file.endswith(".parquet"):
+                self.table(file.removesuffix(".parquet")).createOrReplaceTempView(file.removesuffix(".parquet"))
+        return self.spark.sql(text)
+
     @cached_property
     def methods(self) -> DataFrame:
         """One row per fqn, the latest: fqn, owner, simple, n_params, types, is_static, labels, start_line, end_line, commit_sha."""
@@ -89,6 +98,22 @@ class Graph:
     def overrides(self) -> DataFrame:
         return self.space.put(resolve.overrides(self.methods, self.ancestors))
 
+    @cached_property
+    def starts_thread(self) -> DataFrame:
+        """(src, dst): whoever makes an instance of a task class starts its methods without parameters."""
+        made = self.calls.select("src", names.method_owner(F.col("dst")).alias("class_fqn"), names.method_simple(F.col("dst")).alias("called")).where("called = '<init>'")
+        runs = self.methods.where("n_params = 0 and simple <> '<init>'").select(F.col("owner").alias("class_fqn"), F.col("fqn").alias("dst"))
+        return made.join(self.tasks.select("class_fqn"), "class_fqn", "left_semi").join(runs, "class_fqn").select("src", "dst").distinct()
+
+    def typed_edges(self, *types: str) -> DataFrame:
+        """(src, dst, etype) of CALLS, STARTS_THREAD and OVERRIDES edges; an edge of several types once, by its least."""
+        tables = {"CALLS": lambda: self.calls, "STARTS_THREAD": lambda: self.starts_thread, "OVERRIDES": lambda: self.overrides}
+        out = None
+        for t in types:
+            one = tables[t]().select("src", "dst", F.lit(t).alias("etype"))
+            out = one if out is None else out.unionByName(one)
+        return out.groupBy("src", "dst").agg(F.min("etype").alias("etype"))
+
     @cached_property
     def inputs(self) -> DataFrame:
         """(input, fqn): names of changed methods and the graph's names for them, exact before fuzzy."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("integrity", "impact", "relations", "pipelines")
+MODULES = ("integrity", "impact", "relations", "pipelines", "derived", "assembly")
 
 
 def _merged(attribute: str) -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakegraph.functions import names
@@ -46,7 +46,8 @@ written AS (
 ),
 parts AS (
   SELECT *, regexp_extract(clean, '^([^(]*)\.[^.(]+(?:\(.*)?$', 1) AS owner, regexp_extract(clean, '([^.(]+)(?:\(.*)?$', 1) AS simple0,
-    trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(clean, '\((.*)\)\s*$', 1), '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g')) AS inner_
+    regexp_extract(clean, '\((.*)\)\s*$', 1) AS given,
+    trim(array_to_string(list_filter(string_split(given, ''), lambda ch, i: len(replace(given[1:i], '>', '')) = len(replace(given[1:i], '<', '')) AND ch <> '>'), '')) AS inner_
   FROM written
 ),
 shaped AS (
@@ -76,9 +77,10 @@ links AS (
   UNION SELECT from_class_fqn, to_interface_fqn FROM implements_edges WHERE from_class_fqn IS NOT NULL AND to_interface_fqn IS NOT NULL
 )"""
 ANCESTORS = """
-up AS (
-  SELECT child, parent AS ancestor, 1 AS depth FROM links
-  UNION SELECT u.child, l.parent, u.depth + 1 FROM up u JOIN links l ON l.child = u.ancestor WHERE u.depth < 100
+up(child, ancestor, depth) USING KEY (child, ancestor) AS (
+  SELECT child, parent, 1 FROM links
+  UNION SELECT u.child, l.parent, u.depth + 1 FROM up u JOIN links l ON l.child = u.ancestor
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.up r WHERE r.child = u.child AND r.ancestor = l.parent)
 ),
 ancestors AS (SELECT child, ancestor, min(depth) AS depth FROM up GROUP BY child, ancestor)"""
 URLS = f"""
@@ -238,27 +240,6 @@ def scheduled_forward(g: Graph) -> DataFrame:
     return g.forward(DEPTH).join(g.method_tasks.withColumnRenamed("src", "node"), "node").select("seed", "task").distinct()
 
 
-@query(
-    _with(METHODS, CALLS, INPUTS, FORE0, LINKS, URLS, ACCESS)
-    + """, effects AS (
-  SELECT DISTINCT seed, lower(access) || ' ' || name AS effect FROM walk JOIN table_access a ON a.src = node
-  UNION SELECT DISTINCT seed, 'runs ' || task FROM walk JOIN method_tasks t ON t.src = node
-  UNION SELECT DISTINCT seed, 'exposes ' || url FROM walk JOIN method_urls u ON u.src = node),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY seed, split_part(effect, ' ', 1) ORDER BY effect) AS n FROM effects)
-SELECT seed, string_agg(effect, '; ' ORDER BY effect) AS effects FROM ranked WHERE n <= 3 GROUP BY seed"""
-)
-def side_effects(g: Graph) -> DataFrame:
-    """Of each kind of effect below a changed method the first three, as text."""
-    walk = g.space.put(g.forward(TABLE_DEPTH).select("seed", "node"))
-    effect = lambda edges, text: walk.join(edges.withColumnRenamed("src", "node"), "node").select("seed", text.alias("effect"))
-    both = (
-        effect(g.table_access, F.concat(F.lower("access"), F.lit(" "), "name"))
-        .unionByName(effect(g.method_tasks, F.concat(F.lit("runs "), "task"))).unionByName(effect(g.method_urls, F.concat(F.lit("exposes "), "url")))
-    )
-    kinds = both.groupBy("seed", F.substring_index("effect", " ", 1).alias("kind")).agg(F.slice(F.array_sort(F.collect_set("effect")), 1, 3).alias("top"))
-    return kinds.groupBy("seed").agg(F.array_join(F.array_sort(F.flatten(F.collect_list("top"))), "; ").alias("effects"))
-
-
 @query(_with(LINKS, ANCESTORS) + "SELECT * FROM ancestors")
 def hierarchy_closure(g: Graph) -> DataFrame:
     return g.ancestors
@@ -274,6 +255,10 @@ def override_pairs(g: Graph) -> DataFrame:
     return g.overrides
 
 
+_ALL_EDGES = """
+linked AS (SELECT src, dst, min(etype) AS etype FROM (SELECT * FROM threaded UNION ALL SELECT src, dst, 'OVERRIDES' FROM overrides) GROUP BY src, dst)"""
+
+
 @query(
     _with(METHODS, INPUTS, LINKS, ANCESTORS, _TYPES)
     + """, up5 AS (SELECT seed, seed AS node, 0 AS dist FROM seeds UNION SELECT u.seed, o.dst, u.dist + 1 FROM up5 u JOIN overrides o ON o.src = u.node WHERE u.dist < 5)
@@ -321,14 +306,96 @@ def shortest_chain_len(g: Graph) -> DataFrame:
     return reach.join(g.method_urls.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("src"), F.col("seed").alias("dst"), F.col("dist").alias("length"))
 
 
-@query()
+_READ_BACK = """, pairs AS (SELECT DISTINCT node AS src, seed AS dst FROM reach WHERE node IN (SELECT src FROM {ends}) AND node <> seed),
+fore AS (SELECT DISTINCT src AS s, src AS node, 0 AS dist FROM pairs UNION SELECT f.s, c.dst, f.dist + 1 FROM fore f JOIN {edges} c ON c.src = f.node WHERE f.dist < {depth}),
+least AS (SELECT s, node, min(dist) AS dist FROM fore GROUP BY s, node),
+preds AS (SELECT b.s, b.node, min(a.node) AS before FROM least b JOIN {edges} c ON c.dst = b.node JOIN least a ON a.s = b.s AND a.node = c.src AND a.dist = b.dist - 1 GROUP BY b.s, b.node),
+chains AS (
+  SELECT p.src, p.dst, l.dist AS length, q.before, [p.dst] AS chain FROM pairs p JOIN least l ON l.s = p.src AND l.node = p.dst JOIN preds q ON q.s = p.src AND q.node = p.dst
+  UNION ALL SELECT c.src, c.dst, c.length, q.before, list_prepend(c.before, c.chain) FROM chains c LEFT JOIN preds q ON q.s = c.src AND q.node = c.before WHERE c.before IS NOT NULL),
+told AS (SELECT src, dst, length, chain, array_to_string(list_transform(chain[2:len(chain) - 1], lambda x: regexp_extract(x, '""" + names.METHOD_FQN + """', 2)), ' > ') AS via FROM chains WHERE before IS NULL)"""
+_TYPED = """, steps AS (SELECT src, dst, unnest(range(1, len(chain))) AS n, chain FROM told),
+named AS (SELECT s.src, s.dst, string_agg(e.etype, ' > ' ORDER BY n) AS types FROM steps s JOIN {edges} e ON e.src = chain[n] AND e.dst = chain[n + 1] GROUP BY ALL)
+SELECT t.src, t.dst, length, via, types FROM told t JOIN named m ON m.src = t.src AND m.dst = t.dst"""
+
+
+def _told(chains: DataFrame, *more: Column) -> DataFrame:
+    between = F.slice("chain", 2, F.greatest(F.col("length") - 1, F.lit(0)))
+    return chains.select("src", "dst", "length", F.array_join(F.transform(between, names.method_simple), " > ").alias("via"), *more)
+
+
+@query(_with(METHODS, CALLS, INPUTS, BACK1, REACH, LINKS, URLS) + _READ_BACK.format(ends="method_urls", edges="calls", depth=DEPTH) + " SELECT src, dst, length, via FROM told")
 def shortest_chain(g: Graph) -> DataFrame:
     """The chains themselves: simple names between the ends, for every entry point and changed method within reach."""
     reach = g.backward(DEPTH, with_seed=False).where("node <> seed")
     pairs = reach.join(g.method_urls.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("src"), F.col("seed").alias("dst"))
-    chains = traverse.shortest_chains(pairs, g.calls, DEPTH)
-    between = F.slice("chain", 2, F.greatest(F.col("length") - 1, F.lit(0)))
-    return chains.select("src", "dst", "length", F.array_join(F.transform(between, names.method_simple), " > ").alias("via"))
+    return _told(traverse.shortest_chains(pairs, g.calls, DEPTH))
+
+
+_THREADS = r"""
+starts AS (SELECT DISTINCT c.src, m.fqn AS dst FROM calls c JOIN tasks t ON c.dst LIKE t.class_fqn || '.<init>(%' JOIN methods m ON m.owner = t.class_fqn AND m.n_params = 0 AND m.simple <> '<init>'),
+threaded AS (SELECT src, dst, min(etype) AS etype FROM (SELECT src, dst, 'CALLS' AS etype FROM calls UNION ALL SELECT src, dst, 'STARTS_THREAD' FROM starts) GROUP BY src, dst)"""
+_WALK = "walk AS (SELECT DISTINCT s.seed, c.{to} AS node, 1 AS dist FROM seeds s JOIN {edges} c ON c.{at} = s.seed UNION SELECT r.seed, c.{to}, r.dist + 1 FROM walk r JOIN {edges} c ON c.{at} = r.node WHERE r.dist < {depth})"
+
+
+@query(_with(METHODS, CALLS, INPUTS, LINKS, URLS, _THREADS, _WALK.format(edges="threaded", at="src", to="dst", depth=DEPTH)) + "SELECT DISTINCT s.seed AS fqn, w.node AS reachable FROM seeds s LEFT JOIN walk w ON w.seed = s.seed")
+def forward_reach_list(g: Graph) -> DataFrame:
+    """What every changed method reaches over calls and started threads, a row each; a null for those that reach nothing."""
+    reach = traverse.bfs(g.seeds, g.typed_edges("CALLS", "STARTS_THREAD"), DEPTH, with_seed=False).select("seed", F.col("node").alias("reachable"))
+    return g.seeds.join(reach, "seed", "left").select(F.col("seed").alias("fqn"), "reachable")
+
+
+def _chains_from(g: Graph, edges: DataFrame, ends: DataFrame) -> DataFrame:
+    edges = g.space.put(edges)
+    reach = traverse.bfs(g.seeds, edges, DEPTH, backward=True, with_seed=False).where("node <> seed")
+    pairs = reach.join(ends.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("src"), F.col("seed").alias("dst"))
+    return _told(traverse.chain_types(traverse.shortest_chains(pairs, edges, DEPTH), edges), F.array_join("types", " > ").alias("types"))
+
+
+@query(
+    _with(METHODS, CALLS, INPUTS, LINKS, URLS, _THREADS, _WALK.format(edges="threaded", at="dst", to="src", depth=DEPTH), REACH)
+    + _READ_BACK.format(ends="method_tasks", edges="threaded", depth=DEPTH) + _TYPED.format(edges="threaded")
+)
+def shortest_chain_schedule(g: Graph) -> DataFrame:
+    """Chains from the methods of tasks to the changed methods, over calls and started threads, with the types of their edges."""
+    return _chains_from(g, g.typed_edges("CALLS", "STARTS_THREAD"), g.method_tasks)
+
+
+@query(
+    _with(METHODS, CALLS, INPUTS, LINKS, ANCESTORS, _TYPES, URLS, _THREADS, _ALL_EDGES, _WALK.format(edges="linked", at="dst", to="src", depth=DEPTH), REACH)
+    + _READ_BACK.format(ends="method_urls", edges="linked", depth=DEPTH) + _TYPED.format(edges="linked")
+)
+def shortest_chain_typed(g: Graph) -> DataFrame:
+    """Chains from the entry points to the changed methods over calls, started threads and overrides, with the types of their edges."""
+    return _chains_from(g, g.typed_edges("CALLS", "STARTS_THREAD", "OVERRIDES"), g.method_urls)
+
+
+@query(
+    _with(METHODS, CALLS, INPUTS, FORE0, LINKS, URLS, ACCESS, _THREADS)
+    + """, effects AS (
+  SELECT DISTINCT seed, lower(access) || ' ' || name AS effect FROM walk JOIN table_access a ON a.src = node
+  UNION SELECT DISTINCT seed, 'runs ' || task FROM walk JOIN method_tasks t ON t.src = node
+  UNION SELECT DISTINCT seed, 'exposes ' || url FROM walk JOIN method_urls u ON u.src = node
+  UNION SELECT DISTINCT seed, 'starts ' || dst FROM walk JOIN starts s ON s.src = node
+  UNION SELECT DISTINCT seed, CASE WHEN kind = 'notification-macro' THEN 'notifies ' ELSE 'reflects ' END || to_method_fqn FROM walk JOIN call_edges e ON e.from_method_fqn = node
+    WHERE to_method_fqn IS NOT NULL AND (kind = 'notification-macro' OR starts_with(kind, 'reflect-'))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY seed, split_part(effect, ' ', 1) ORDER BY effect) AS n FROM effects)
+SELECT seed, string_agg(effect, '; ' ORDER BY effect) AS effects FROM ranked WHERE n <= 3 GROUP BY seed"""
+)
+def side_effects(g: Graph) -> DataFrame:
+    """Of each kind of effect below a changed method the first three, as text."""
+    walk = g.space.put(g.forward(TABLE_DEPTH).select("seed", "node"))
+    effect = lambda edges, text: walk.join(edges.withColumnRenamed("src", "node"), "node").select("seed", text.alias("effect"))
+    both = (
+        effect(g.table_access, F.concat(F.lower("access"), F.lit(" "), "name"))
+        .unionByName(effect(g.method_tasks, F.concat(F.lit("runs "), "task"))).unionByName(effect(g.method_urls, F.concat(F.lit("exposes "), "url")))
+    )
+    sent = g.table("call_edges").where(F.col("to_method_fqn").isNotNull() & ((F.col("kind") == "notification-macro") | F.col("kind").startswith("reflect-"))).select(
+        F.col("from_method_fqn").alias("src"), F.when(F.col("kind") == "notification-macro", "notifies ").otherwise("reflects ").alias("how"), "to_method_fqn"
+    ).distinct()
+    both = both.unionByName(effect(g.starts_thread, F.concat(F.lit("starts "), "dst"))).unionByName(effect(sent, F.concat("how", "to_method_fqn"))).distinct()
+    kinds = both.groupBy("seed", F.substring_index("effect", " ", 1).alias("kind")).agg(F.slice(F.array_sort(F.collect_set("effect")), 1, 3).alias("top"))
+    return kinds.groupBy("seed").agg(F.array_join(F.array_sort(F.flatten(F.collect_list("top"))), "; ").alias("effects"))
 
 
 _ENTRIES = """, below AS (SELECT DISTINCT seed, node FROM walk UNION SELECT seed, seed FROM seeds),
@@ -380,7 +447,10 @@ def overall_risk(g: Graph) -> DataFrame:
     return report.overall_risk(_risks(g))
 
 
-@query()
+_JSON = " SELECT fqn, to_json({'fqn': fqn, 'impact': {'risk': risk, 'entry_count': entry_count, 'n_entries': n_entries, 'urls': list_filter(string_split(urls, ' '), lambda u: u <> ''), 'n_tasks': n_tasks}})::VARCHAR AS report FROM summary"
+
+
+@query(_with(METHODS, CALLS, INPUTS, BACK1, LINKS, URLS) + _RISK + _SUMMARY.replace("\nSELECT x.fqn", ",\nsummary AS (SELECT x.fqn") + ")" + _JSON)
 def report_json(g: Graph) -> DataFrame:
     """The report of every changed method as JSON."""
     return report.json_lines(impact_summary(g))

@@ -9,7 +9,7 @@ from wakegraph.functions import names
 from wakegraph.operators import intervals, merge, resolve
 from wakegraph.plans import tagging
 from wakegraph.plans.graph import ACTION_BASE, TASK_BASE, Graph
-from wakegraph.queries.impact import ANCESTORS, CALLS, COVERS, INPUTS, LINKS, METHODS, URLS, _with
+from wakegraph.queries.impact import ACCESS, ANCESTORS, CALLS, COVERS, INPUTS, LINKS, METHODS, URLS, _with
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -137,22 +137,6 @@ def dynamic_labels(g: Graph) -> DataFrame:
     return merge.add_labels(g.methods.select("fqn", "labels"), "fqn", "labels", extra).select("fqn", F.array_join("labels", ",").alias("labels"))
 
 
-@query(
-    """WITH e AS (SELECT DISTINCT o_orderkey AS src, CAST(o_custkey % 97 AS VARCHAR) AS dst FROM orders),
-k AS (SELECT 'p' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '.MessageConstants' ELSE '.OtherConstants' END AS o, p_brand AS n, CAST(p_partkey % 50 AS VARCHAR) AS v FROM part WHERE p_partkey % 7 < 2),
-t AS (SELECT v, CASE WHEN ends_with(o, '.MessageConstants') THEN 1 ELSE 2 END AS tier, count(DISTINCT o || '.' || n) AS c, min(o || '.' || n) AS target FROM k GROUP BY ALL),
-b AS (SELECT v, target FROM t QUALIFY tier = min(tier) OVER (PARTITION BY v)),
-b1 AS (SELECT t.v, t.target FROM t JOIN (SELECT v, min(tier) AS tier FROM t GROUP BY v) m USING (v, tier) WHERE t.c = 1)
-SELECT DISTINCT src, coalesce(target, dst) AS dst FROM e LEFT JOIN b1 ON v = dst"""
-)
-def rekey_constants(g: Graph) -> DataFrame:
-    """Numeric ids replaced by the only constant that has their value, preferred owners first."""
-    edges = g.table("orders").select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") % 97).cast("string").alias("dst")).distinct()
-    owner = F.concat(F.lit("p"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, ".MessageConstants").otherwise(".OtherConstants"))
-    constants = g.table("part").where("p_partkey % 7 < 2").select(owner.alias("owner"), F.col("p_brand").alias("name"), (F.col("p_partkey") % 50).cast("string").alias("value"))
-    return merge.rekey_unique(edges, constants, [".MessageConstants"])
-
-
 @query(
     """WITH e AS (SELECT DISTINCT o_orderkey AS src, CAST(o_custkey AS VARCHAR) AS dst FROM orders),
 p AS (SELECT *, 'p' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '.MessageConstants' ELSE '.OtherConstants' END AS o FROM part),
@@ -161,8 +145,8 @@ t AS (SELECT v, CASE WHEN ends_with(o, '.MessageConstants') THEN 1 ELSE 2 END AS
 b AS (SELECT v, target, c FROM t QUALIFY tier = min(tier) OVER (PARTITION BY v))
 SELECT DISTINCT src, coalesce(target, dst) AS dst FROM e LEFT JOIN (SELECT v, target FROM b WHERE c = 1) ON v = dst"""
 )
-def rekey_constants_whole(g: Graph) -> DataFrame:
-    """As rekey_constants, over every part and customer: a part's key is a constant's value, its size that of many."""
+def rekey_constants(g: Graph) -> DataFrame:
+    """Ids replaced by the only constant that has their value, preferred owners first: a part's key is a constant's value, its size that of many."""
     edges = g.table("orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").cast("string").alias("dst")).distinct()
     owner = F.concat(F.lit("p"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, ".MessageConstants").otherwise(".OtherConstants"))
     by_key = g.table("part").select(owner.alias("owner"), F.col("p_brand").alias("name"), F.col("p_partkey").cast("string").alias("value"))
@@ -202,28 +186,42 @@ def wipe_commits(g: Graph) -> DataFrame:
 
 
 @query(
-    _with(METHODS, CALLS)
+    _with(METHODS, CALLS, LINKS, URLS, ACCESS)
     + """, r AS (SELECT min(repo_id) AS repo FROM commit_nodes),
 own AS (SELECT DISTINCT commit_sha FROM commit_nodes WHERE repo_id = (SELECT repo FROM r)),
 kept AS (SELECT fqn FROM methods WHERE commit_sha IS NULL OR commit_sha NOT IN (SELECT commit_sha FROM own)),
 edges AS (SELECT src, dst FROM calls WHERE src NOT IN (SELECT fqn FROM methods WHERE fqn NOT IN (SELECT fqn FROM kept)) AND dst NOT IN (SELECT fqn FROM methods WHERE fqn NOT IN (SELECT fqn FROM kept))),
 used AS (SELECT src AS k FROM edges UNION SELECT dst FROM edges)
 SELECT (SELECT count(*) FROM methods) - (SELECT count(*) FROM kept) AS n_wiped, (SELECT count(*) FROM edges) AS n_edges,
-  (SELECT count(*) FROM kept WHERE ends_with(fqn, '(?)') AND fqn NOT IN (SELECT k FROM used)) AS n_idle_placeholders"""
+  (SELECT count(*) FROM kept WHERE ends_with(fqn, '(?)') AND fqn NOT IN (SELECT k FROM used)) AS n_idle_placeholders,
+  (SELECT count(*) FROM file_nodes WHERE repo_id = (SELECT repo FROM r)) AS n_files,
+  (SELECT count(*) FROM own WHERE commit_sha NOT IN (SELECT commit_sha FROM commit_nodes WHERE repo_id <> (SELECT repo FROM r))) AS n_commits,
+  (SELECT count(DISTINCT name) FROM table_access WHERE name NOT IN (SELECT name FROM table_access WHERE src NOT IN (SELECT fqn FROM methods WHERE fqn NOT IN (SELECT fqn FROM kept)))) AS n_tables,
+  (SELECT count(DISTINCT url) FROM method_urls WHERE url NOT IN (SELECT url FROM method_urls WHERE src IN (SELECT fqn FROM kept))) AS n_endpoints"""
 )
 def wipe_repo_cascade(g: Graph) -> DataFrame:
-    """The least repository wiped: its methods and their edges, and placeholders that nothing refers to any more."""
+    """The least repository wiped: its methods and their edges, placeholders, tables and endpoints that nothing refers to
+    any more, its files, and the commits that no other repository has."""
     commits = g.table("commit_nodes")
     repo = commits.agg(F.min("repo_id").alias("repo_id"))  # one row
-    own = commits.join(F.broadcast(repo), "repo_id", "left_semi").select("commit_sha").distinct().withColumn("doomed", F.lit(True))
-    marked = g.space.put(g.methods.select("fqn", "commit_sha").join(own, "commit_sha", "left"))
+    own = commits.join(F.broadcast(repo), "repo_id", "left_semi").select("commit_sha").distinct()
+    marked = g.space.put(g.methods.select("fqn", "commit_sha").join(own.withColumn("doomed", F.lit(True)), "commit_sha", "left"))
+    gone = marked.where("doomed").select(F.col("fqn").alias("src"))
     kept, edges = merge.delete_nodes(marked, g.calls, "fqn", F.col("doomed"))
     edges = g.space.put(edges)
     used = edges.select(F.col("src").alias("fqn")).union(edges.select("dst")).distinct()
     idle = kept.where(F.col("fqn").endswith("(?)")).join(used, "fqn", "left_anti")
-    count = lambda df, what: df.agg(F.count(F.lit(1)).alias(what))
-    # three rows of one number each
-    return count(marked.where("doomed"), "n_wiped").crossJoin(count(edges, "n_edges")).crossJoin(count(idle, "n_idle_placeholders"))
+    elsewhere = commits.join(F.broadcast(repo), "repo_id", "left_anti").where("repo_id is not null").select("commit_sha").distinct()
+    unreferenced = lambda edges, name: edges.select(name).distinct().join(edges.join(gone, "src", "left_anti").select(name).distinct(), name, "left_anti")
+    counted = {
+        "n_wiped": gone, "n_edges": edges, "n_idle_placeholders": idle, "n_files": g.table("file_nodes").join(F.broadcast(repo), "repo_id", "left_semi"),
+        "n_commits": own.join(elsewhere, "commit_sha", "left_anti"), "n_tables": unreferenced(g.table_access, "name"), "n_endpoints": unreferenced(g.method_urls, "url"),
+    }
+    out = None
+    for name, df in counted.items():
+        one = df.agg(F.count(F.lit(1)).alias(name))
+        out = one if out is None else out.crossJoin(one)  # single rows of one number
+    return out
 
 
 @query("SELECT commit_sha, repo_id, count(*) AS n_rows FROM commit_nodes GROUP BY ALL HAVING count(*) > 1")
@@ -292,15 +290,29 @@ def suffix_link(g: Graph) -> DataFrame:
     return words.join(classes, "w").groupBy("doc_id", "w").agg(F.min("class_fqn").alias("class_fqn")).select("doc_id", "class_fqn")
 
 
-_HUNKS = r"""hunks AS (SELECT symbol_id, split_part(replace(file_path, chr(92), '/'), '/', -1) AS f, hunk_start_line AS h_start, hunk_end_line AS h_end FROM changed_symbols
-  WHERE file_path IS NOT NULL AND hunk_start_line <= hunk_end_line),
-syms AS (SELECT fqn, split_part(owner, '.', -1) || '.java' AS f, start_line AS s_start, end_line AS s_end FROM methods WHERE start_line <= end_line AND owner IS NOT NULL)"""
+_HUNKS = r"""paths AS (SELECT symbol_id, kind, start_line, end_line, hunk_start_line, hunk_end_line, coalesce(nullif(regexp_extract(p, '(?:^|/)java/(.+)\.[^./]*$', 1), ''), regexp_extract(p, '^(.*)\.[^./]*$', 1)) AS c
+  FROM (SELECT *, regexp_replace(replace(file_path, chr(92), '/'), '^(?:\./|[ab]/)', '') AS p FROM changed_symbols WHERE file_path IS NOT NULL)),
+syms AS (SELECT fqn, replace(regexp_extract(owner, '^((?:[a-z_]\w*\.)*[A-Z]\w*)', 1), '.', '/') AS f, start_line AS s_start, end_line AS s_end FROM methods WHERE start_line <= end_line AND regexp_extract(owner, '^((?:[a-z_]\w*\.)*[A-Z]\w*)', 1) <> ''),
+placed AS (SELECT DISTINCT p.c, s.f FROM (SELECT DISTINCT c FROM paths WHERE c <> '') p JOIN (SELECT DISTINCT f FROM syms) s ON s.f = p.c OR ends_with(s.f, '/' || p.c) OR ends_with(p.c, '/' || s.f)),
+hunks AS (SELECT symbol_id, f, hunk_start_line AS h_start, hunk_end_line AS h_end FROM paths JOIN placed USING (c) WHERE hunk_start_line <= hunk_end_line)"""
 
 
-def _hunks_and_symbols(g: Graph) -> tuple[DataFrame, DataFrame]:
-    hunks = g.table("changed_symbols").select("symbol_id", names.file_name(F.col("file_path")).alias("file_path"), F.col("hunk_start_line").alias("h_start"), F.col("hunk_end_line").alias("h_end"))
-    symbols = g.methods.where("owner is not null").select("fqn", F.concat(names.simple_name(F.col("owner")), F.lit(".java")).alias("file_path"), F.col("start_line").alias("s_start"), F.col("end_line").alias("s_end"))
-    return hunks, symbols
+def _hunks_and_symbols(g: Graph, start: str = "hunk_start_line", end: str = "hunk_end_line", kinds: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Line ranges of the changed symbols and of the methods, in the source files that both name.
+
+    Paths are written in many ways: the two mean one file if one ends with the other, whole parts of it.
+    """
+    top = F.regexp_extract("owner", r"^((?:[a-z_]\w*\.)*[A-Z]\w*)", 1)
+    symbols = g.methods.select("fqn", F.translate(top, ".", "/").alias("file_path"), F.col("start_line").alias("s_start"), F.col("end_line").alias("s_end")).where("file_path <> ''")
+    changed = g.table("changed_symbols").where("file_path is not null")
+    changed = changed.where(F.col("kind").isin(*kinds)) if kinds else changed
+    ranges = changed.select("symbol_id", names.source_path(F.col("file_path")).alias("c"), F.col(start).alias("h_start"), F.col(end).alias("h_end"))
+    known = symbols.where("s_start <= s_end").select("file_path").distinct()
+    last = lambda c: F.substring_index(c, "/", -1)
+    met = ranges.select("c").where("c <> ''").distinct().withColumn("k", last("c")).join(known.withColumn("k", last("file_path")), "k")
+    slash = lambda c: F.concat(F.lit("/"), c)
+    placed = met.where((F.col("c") == F.col("file_path")) | F.col("file_path").endswith(slash(F.col("c"))) | F.col("c").endswith(slash(F.col("file_path")))).select("c", "file_path")
+    return ranges.join(placed, "c").drop("c"), symbols
 
 
 @query(
@@ -313,13 +325,12 @@ def interval_smallest_enclosing(g: Graph) -> DataFrame:
 
 @query(
     _with(METHODS, _HUNKS)
-    + r"""SELECT DISTINCT symbol_id, s.fqn FROM changed_symbols c JOIN syms s ON s.f = split_part(replace(c.file_path, chr(92), '/'), '/', -1)
-WHERE c.kind IN ('CLASS', 'INTERFACE') AND c.start_line <= s_start AND s_end <= c.end_line"""
+    + r"""SELECT DISTINCT symbol_id, s.fqn FROM paths JOIN placed USING (c) JOIN syms s USING (f)
+WHERE kind IN ('CLASS', 'INTERFACE') AND start_line <= s_start AND s_end <= end_line"""
 )
 def interval_inside(g: Graph) -> DataFrame:
     """Methods within the lines of the changed types."""
-    types = g.table("changed_symbols").where(F.col("kind").isin("CLASS", "INTERFACE")).select("symbol_id", names.file_name(F.col("file_path")).alias("file_path"), F.col("start_line").alias("h_start"), F.col("end_line").alias("h_end"))
-    return intervals.inside(types, _hunks_and_symbols(g)[1], "symbol_id", "fqn")
+    return intervals.inside(*_hunks_and_symbols(g, "start_line", "end_line", ("CLASS", "INTERFACE")), "symbol_id", "fqn")
 
 
 @query(_with(METHODS, _HUNKS) + "SELECT symbol_id, fqn FROM hunks JOIN syms USING (f) WHERE h_start <= s_end AND s_start <= h_end")
@@ -602,26 +613,13 @@ def token_tagging(g: Graph) -> DataFrame:
     return tagging.token_tags(tagging.test_cases(g.table("documents")), catalogue)
 
 
-@query(
-    _with(METHODS, LINKS, URLS, _TESTS)
-    + """, words AS (SELECT DISTINCT test_id, unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')) AS word FROM tests),
-pages AS (SELECT url FROM method_urls UNION SELECT '/page/' || lower(split_part(owner, '.', -1)) FROM methods WHERE owner IS NOT NULL),
-parts AS (SELECT DISTINCT url, split_part(url, '/', -1) AS word FROM pages WHERE length(split_part(url, '/', -1)) >= 4)
-SELECT DISTINCT test_id, 'URL' AS kind, url AS key, 0.6::DOUBLE AS confidence FROM words JOIN parts USING (word)"""
-)
-def url_fragment_tagging(g: Graph) -> DataFrame:
-    """Texts tagged with the URLs of methods, and of one page a class, whose last part they name."""
-    pages = g.methods.where("owner is not null").select(F.concat(F.lit("/page/"), F.lower(names.simple_name(F.col("owner")))).alias("url"))
-    return tagging.url_tags(tagging.test_cases(g.table("documents")), g.method_urls.select("url").unionByName(pages).distinct())
-
-
 @query(
     _with(METHODS, LINKS, URLS, _TESTS)
     + """, pages AS (SELECT url FROM method_urls UNION SELECT url FROM class_urls UNION SELECT '/page/' || lower(split_part(owner, '.', -1)) FROM methods WHERE owner IS NOT NULL),
 fragments AS (SELECT url, lower(regexp_replace(url, '^servlet:', '')) AS fragment FROM pages UNION SELECT url, lower(regexp_extract(split_part(url, '?', 1), '([^/:]+)[/:]*$', 1)) FROM pages)
 SELECT DISTINCT test_id, 'URL' AS kind, url AS key, 0.6::DOUBLE AS confidence FROM tests JOIN fragments ON length(fragment) >= 4 AND contains(lower(text), fragment)"""
 )
-def url_substring_tagging(g: Graph) -> DataFrame:
+def url_fragment_tagging(g: Graph) -> DataFrame:
     """Texts tagged with the URLs of methods and classes, and of one page a class, that they have anywhere."""
     pages = g.methods.where("owner is not null").select(F.concat(F.lit("/page/"), F.lower(names.simple_name(F.col("owner")))).alias("url"))
     return tagging.url_substring_tags(tagging.test_cases(g.table("documents")), g.method_urls.select("url").unionByName(g.class_urls.select("url")).unionByName(pages).distinct())

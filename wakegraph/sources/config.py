@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,7 +167,7 @@ def sheet_cases(rows: list[list[str]], source: str) -> list[dict[str, str]]:
 
 def csv_cases(spark: SparkSession, path: str) -> DataFrame:
     """Test cases of CSV sheets with a header line, columns named as in SHEET_COLUMNS."""
-    raw = spark.read.option("header", "true").option("multiLine", "true").csv(path)
+    raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
     low = {c.strip().lower(): c for c in raw.columns}
     pick = lambda k: next((F.col(f"`{low[s]}`") for s in SHEET_COLUMNS[k] if s in low), F.lit(""))
     return raw.select(*[F.coalesce(F.trim(pick(k)), F.lit("")).alias(k) for k in SHEET_COLUMNS], F.lit(path).alias("source")).where("test_id <> ''")
@@ -205,6 +207,26 @@ def parse_rules(text: str) -> list[tuple[int, str, str, str, str]]:
     return out
 
 
+def rules_of(texts: DataFrame) -> DataFrame:
+    """(path, ord, test_id, op, kind, key) of rule files texts(path, content); a file that can't be read fails the job."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(path, *rule) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for rule in parse_rules(text)]
+            columns = list(zip(*got)) if got else [()] * 6
+            types = [pa.string(), pa.int32(), *[pa.string()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["path", "ord", "test_id", "op", "kind", "key"])
+
+    return texts.where("content is not null").select("path", "content").mapInArrow(work, "path string, ord int, test_id string, op string, kind string, key string")
+
+
+def registry_of(texts: DataFrame) -> DataFrame:
+    """(macro_class, macro_key, placeholder, db_column) of JSON registries {class: [{key, placeholder, column}]}; what is no JSON gives nothing."""
+    parsed = F.from_json("content", "map<string, array<struct<key: string, placeholder: string, column: string>>>")
+    entries = texts.select(F.explode(parsed).alias("macro_class", "entries")).select("macro_class", F.explode("entries").alias("e"))
+    return entries.select("macro_class", F.col("e.key").alias("macro_key"), F.col("e.placeholder").alias("placeholder"), F.col("e.column").alias("db_column"))
+
+
 def macro_registry(text: str) -> list[tuple[str, str, str, str]]:
     """(macro_class, macro_key, placeholder, db_column) of a JSON registry {class: [{key, placeholder, column}]}."""
     data = json.loads(text)

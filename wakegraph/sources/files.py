@@ -64,6 +64,15 @@ def properties(text: str) -> dict[str, str]:
     return out
 
 
+def properties_of(texts: DataFrame) -> DataFrame:
+    """(file, key, value) of properties files texts(file, content), as of properties()."""
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    lines = texts.where("content is not null").select("file", F.posexplode(F.split("content", r"\r\n|\r|\n")).alias("n", "line")).select("file", "n", bare("line").alias("line"))
+    kept = lines.where(F.col("line").contains("=") & ~F.col("line").rlike("^[#!]"))
+    split = kept.select("file", "n", bare(F.substring_index("line", "=", 1)).alias("key"), bare(F.regexp_replace("line", "(?s)^[^=]*=", "")).alias("value"))
+    return split.groupBy("file", "key").agg(F.max_by("value", "n").alias("value"))
+
+
 def resolved_path(value: str, root: str) -> str:
     """A configured path: as it is with a drive letter or leading slash, else below the repository's root."""
     value = value.replace("\\", "/")

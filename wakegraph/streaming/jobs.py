@@ -9,8 +9,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wakegraph.session import shared_dir
@@ -112,3 +113,43 @@ def upsert_sink(merge: Callable[[DataFrame | None, DataFrame], DataFrame], folde
         merge(before, batch).write.mode("overwrite").parquet(f"{folder}/v={number}")
 
     return write
+
+
+def sequenced(lines: DataFrame, at: str) -> DataFrame:
+    """lines with seq: their number within their job, from 0 on, by the column at."""
+    n = F.row_number().over(Window.partitionBy("job_id").orderBy(at)) - 1
+    return lines.withColumn("seq", n.cast("long"))
+
+
+def replay(numbered: DataFrame, after: int) -> DataFrame:
+    """What one who has seen the first `after` lines of every job has not seen yet; the same lines go on as a stream of greater seq."""
+    return numbered.where(F.col("seq") >= after)
+
+
+class Watchdog(StreamingQueryListener):
+    """Tells of the progress of the session's streams: tell(rows so far, rows a second, percent of total or None)."""
+
+    def __init__(self, tell: Callable[[int, float, float | None], None], total: int | None = None):
+        self.tell, self.total, self.rows = tell, total, 0
+
+    def onQueryStarted(self, event) -> None:
+        self.rows = 0
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows += p.numInputRows
+        self.tell(self.rows, p.processedRowsPerSecond, 100.0 * self.rows / self.total if self.total else None)
+
+    def onQueryIdle(self, event) -> None:
+        self.tell(self.rows, 0.0, 100.0 * self.rows / self.total if self.total else None)
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def watched(df: DataFrame, total: int) -> DataFrame:
+    """(n_done, percent) of a stream that has run over all that is there, by the progress it reported."""
+    query = df.writeStream.format("noop").option("checkpointLocation", f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    done = sum(p.numInputRows for p in query.recentProgress)
+    return df.sparkSession.createDataFrame([(done, 100.0 * done / total if total else 100.0)], "n_done long, percent double")
