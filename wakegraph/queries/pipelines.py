@@ -125,8 +125,8 @@ named AS (
     coalesce(bool_or(starts_with(m.line, 'rename from ')), false) AS renamed, coalesce(bool_or(starts_with(m.line, 'copy from ')), false) AS copied
   FROM files f LEFT JOIN marks m ON m.patch_id = f.patch_id AND m.n > f.first AND (f.next IS NULL OR m.n < f.next) GROUP BY ALL),
 paths AS (
-  SELECT patch_id, ordinal, first, next, CASE WHEN a = '--- /dev/null' THEN NULL ELSE regexp_replace(coalesce(a[5:], regexp_extract(line, '^diff --git (.*?) b/', 1)), '^a/', '') END AS old_path,
-    CASE WHEN b = '+++ /dev/null' THEN NULL ELSE regexp_replace(coalesce(b[5:], regexp_extract(line, ' (b/.*)$', 1)), '^b/', '') END AS new_path,
+  SELECT patch_id, ordinal, first, next, CASE WHEN a = '--- /dev/null' THEN NULL ELSE regexp_replace(trim(split_part(coalesce(a[5:], regexp_extract(line, '^diff --git (.*?) b/', 1)), chr(9), 1)), '^a/', '') END AS old_path,
+    CASE WHEN b = '+++ /dev/null' THEN NULL ELSE regexp_replace(trim(split_part(coalesce(b[5:], regexp_extract(line, ' (b/.*)$', 1)), chr(9), 1)), '^b/', '') END AS new_path,
     CASE WHEN b = '+++ /dev/null' THEN 'DELETE' WHEN a = '--- /dev/null' THEN 'ADD' WHEN renamed THEN 'RENAME' WHEN copied THEN 'COPY' ELSE 'MODIFY' END AS change FROM named),
 runs AS (SELECT *, count(*) FILTER (WHERE sign = ' ') OVER (PARTITION BY patch_id, head ORDER BY n) AS run FROM hunks),
 edits AS (SELECT patch_id, head, run, min(new_no) AS low, greatest(min(new_no) + count(*) FILTER (WHERE sign = '+') - 1, min(new_no)) AS high FROM runs WHERE sign <> ' ' GROUP BY ALL)
