@@ -154,6 +154,18 @@ def test_ingest_resolves_calls(spark):
     assert {r.what: r.n for r in counts(t).collect()}["corrupt"] == 1
 
 
+def test_fields_of_ancestors_give_receivers_and_accesses(spark):
+    texts = {
+        "Top.java": "package p; import q.Tool; public class Top { protected Tool tool; static final int MAX = 3; int own; }",
+        "Mid.java": "package p; class Mid extends Top { Other tool2; }",
+        "Low.java": "package r; import p.*; class Low extends p.Mid { int n; void f(Low o) { tool.cut(1); tool2.go(); this.n = Top.MAX; o.own = missing.x; super.own = 1; tool.size = 2; } }",
+        "Tool.java": "package q; public class Tool { int size; public void cut(int n) { } }", "Other.java": "package p; class Other { void go() { } }",
+    }
+    t = ingest(spark.createDataFrame([("r", k, v) for k, v in texts.items()], "repo_id string, path string, content string"))
+    assert {(r.src, r.dst) for r in t["calls"].collect()} == {("r.Low.f(Low)", "q.Tool.cut(int)"), ("r.Low.f(Low)", "p.Other.go()")}
+    assert {r.dst for r in t["accesses"].collect()} == {"r.Low.n", "p.Top.MAX", "p.Top.own", "q.Tool.size"}
+
+
 def test_source_tree(spark, tmp_path):
     (tmp_path / "repo" / "src").mkdir(parents=True)
     (tmp_path / "repo" / "build").mkdir()

@@ -260,6 +260,8 @@ class _Source:
                     self.site(owner, method, "new", text, "<init>", j, self.line[i])
             elif kind[i] == "id" and t[i + 1] == "(" and t[i] not in _NO_CALL and t[i - 1] != "new":
                 self.receiver(owner, method, names, i)
+            elif kind[i] == "id" and t[i - 1] == "." and kind[i - 2] == "id" and t[i - 3] != "." and kind[i + 1] != "id" and t[i + 1] not in ("(", ".", "<", "::"):
+                self.access(owner, method, names, i)
             i += 1
 
     def receiver(self, owner: str, method: str, names: dict[str, str], i: int) -> None:
@@ -290,7 +292,16 @@ class _Source:
         text = ".".join(parts)
         if len(parts) == 1 and text in names:
             return self.site(owner, method, "variable", names[text], name, i + 1, self.line[i])
-        return self.site(owner, method, "type" if parts[-1][:1].isupper() else "expression", text if parts[-1][:1].isupper() else None, name, i + 1, self.line[i])
+        if parts[-1][:1].isupper():
+            return self.site(owner, method, "type", text, name, i + 1, self.line[i])
+        # a name that nothing here declares may be a field of an ancestor
+        return self.site(owner, method, *(("field", text) if len(parts) == 1 else ("expression", None)), name, i + 1, self.line[i])
+
+    def access(self, owner: str, method: str, names: dict[str, str], i: int) -> None:
+        """The field named at i, behind a point and one word."""
+        word = self.t[i - 2]
+        kind, scope = ("this", None) if word == "this" else ("super", None) if word == "super" else ("variable", names[word]) if word in names else ("type", word) if word[:1].isupper() else ("field", word)
+        self.add(kind="access", owner=method, name=self.t[i], types=[owner], start_line=self.line[i], end_line=self.line[i], scope_kind=kind, scope=scope)
 
     def site(self, owner: str, method: str, scope_kind: str, scope: str | None, name: str, bracket: int, line: int) -> None:
         end, i, n = self.close[bracket], bracket + 1, int(self.close[bracket] > bracket + 1)
@@ -312,7 +323,7 @@ def read_java(text: str) -> tuple[str, list[dict]]:
 def java_records(files: DataFrame) -> DataFrame:
     """One row a declaration, import or call of the Java files of files(repo_id, path, content); see SCHEMA.
 
-    kind: class, interface, enum, record, method, constructor, field, import, call, corrupt. Null contents and other
+    kind: class, interface, enum, record, method, constructor, field, import, call, access, corrupt. Null contents and other
     extensions give nothing.
     """
     from pyspark.sql import functions as F
