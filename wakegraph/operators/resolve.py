@@ -126,3 +126,55 @@ def strategy_table(calls: DataFrame) -> DataFrame:
     whole = Window.partitionBy(F.lit(1))
     percent = F.round(100.0 * F.col("n") / F.sum("n").over(whole), 6)
     return counted.select("strategy", "n", "average", percent.alias("percent"), F.row_number().over(whole.orderBy(F.desc("n"), "strategy")).alias("place"))
+
+
+# Packages of library types that are named without an import of their own.
+LIBRARY = {
+    "java.lang": (
+        "String Object Integer Long Boolean Double Float Byte Short Character Number Math System Thread Throwable Exception RuntimeException Error Class Void"
+        " Iterable Comparable CharSequence StringBuilder StringBuffer"
+    ),
+    "java.util": (
+        "HashMap LinkedHashMap TreeMap Map AbstractMap ArrayList LinkedList List AbstractList Vector Stack HashSet LinkedHashSet TreeSet Set AbstractSet Collection"
+        " AbstractCollection Iterator Enumeration Hashtable Properties Date Calendar Optional Arrays Collections Objects Comparator UUID"
+    ),
+    "java.io": "File InputStream OutputStream Reader Writer BufferedReader BufferedWriter FileReader FileWriter FileInputStream FileOutputStream PrintStream PrintWriter IOException Serializable",
+    "java.util.concurrent": "ConcurrentHashMap ConcurrentMap ExecutorService Executors Future Callable TimeUnit",
+    "javax.servlet.http": "HttpServlet HttpServletRequest HttpServletResponse HttpSession Cookie",
+    "javax.servlet": "ServletException ServletContext ServletConfig",
+    "org.json": "JSONObject JSONArray JSONException",
+    "java.text": "MessageFormat SimpleDateFormat DateFormat",
+    "java.util.logging": "Logger Level",
+}
+NAME_RULES = ("import", "library wildcard", "only wildcard", "library", "package", "raw")
+
+
+def library_names() -> list[tuple[str, str]]:
+    """(simple name, package) of LIBRARY."""
+    return [(name, pkg) for pkg, names_ in LIBRARY.items() for name in names_.split()]
+
+
+def imported_names(uses: DataFrame, imports: DataFrame) -> DataFrame:
+    """(file, name, class_fqn, rule) of simple type names by the imports of their file alone, whether or not the class is known.
+
+    uses: file, pkg, name; imports: file, target (a class or `pkg.*`). Tried in order: an import of the name; a wildcard
+    import of the package that the library has the name in; the only wildcard import of the file; the library; the own
+    package; the name as it is. All but the first and the last are for names that begin with a capital.
+    """
+    u = uses.where("name is not null").distinct()
+    capital = u.where(F.col("name").rlike("^[A-Z]"))
+    # as many rows as LIBRARY has names
+    library = u.sparkSession.createDataFrame(library_names(), "name string, lib string").hint("broadcast")
+    row = lambda df, pkg, tier: df.select("file", "name", F.concat(pkg, F.lit("."), "name").alias("class_fqn"), F.lit(tier).alias("tier"))
+    exact = imports.where(~F.col("target").endswith(".*")).select("file", F.col("target").alias("class_fqn"), names.simple_name(F.col("target")).alias("name"))
+    stars = imports.where(F.col("target").endswith(".*")).select("file", F.regexp_replace("target", r"\.\*$", "").alias("star")).distinct()
+    single = stars.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("star").alias("star")).where("n = 1")
+    known = capital.join(library, "name")
+    hits = (
+        u.join(exact, ["file", "name"]).select("file", "name", "class_fqn", F.lit(1).alias("tier"))
+        .unionByName(row(known.join(stars.withColumnRenamed("star", "lib"), ["file", "lib"], "left_semi"), F.col("lib"), 2))
+        .unionByName(row(capital.join(single, "file"), F.col("star"), 3)).unionByName(row(known, F.col("lib"), 4)).unionByName(row(capital.where("pkg <> ''"), F.col("pkg"), 5))
+        .unionByName(u.select("file", "name", F.col("name").alias("class_fqn"), F.lit(6).alias("tier")))
+    )
+    best = hits.groupBy("file", "name").agg(F.min(F.struct("tier", "class_fqn")).alias("b"))
+    return best.select("file", "name", "b.class_fqn", F.element_at(F.array(*[F.lit(r) for r in NAME_RULES]), F.col("b.tier")).alias("rule"))

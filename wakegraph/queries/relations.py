@@ -463,6 +463,31 @@ def import_cascade(g: Graph) -> DataFrame:
     return resolve.import_cascade(uses, imports, classes)
 
 
+_LIBRARY = "library AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in resolve.library_names()) + ") v(name, lib))"
+
+
+@query(
+    "WITH " + _IMPORTS + ", " + _LIBRARY
+    + r""", stars AS (SELECT DISTINCT file, regexp_replace(target, '\.\*$', '') AS star FROM imports WHERE ends_with(target, '.*')),
+single AS (SELECT file, min(star) AS star FROM stars GROUP BY file HAVING count(*) = 1),
+cand AS (
+  SELECT u.file, u.name, i.target AS class_fqn, 1 AS tier FROM uses u JOIN imports i ON i.file = u.file AND NOT ends_with(i.target, '.*') AND split_part(i.target, '.', -1) = u.name
+  UNION SELECT u.file, u.name, lib || '.' || u.name, 2 FROM uses u JOIN library l ON l.name = u.name JOIN stars s ON s.file = u.file AND s.star = lib
+  UNION SELECT u.file, u.name, star || '.' || u.name, 3 FROM uses u JOIN single s ON s.file = u.file
+  UNION SELECT u.file, u.name, lib || '.' || u.name, 4 FROM uses u JOIN library l ON l.name = u.name
+  UNION SELECT file, name, pkg || '.' || name, 5 FROM uses WHERE pkg <> ''
+  UNION SELECT file, name, name, 6 FROM uses)
+SELECT file, name, min(class_fqn) AS class_fqn, ['import','library wildcard','only wildcard','library','package','raw'][tier] AS rule
+FROM (SELECT * FROM cand QUALIFY tier = min(tier) OVER (PARTITION BY file, name)) GROUP BY file, name, tier"""
+)
+def import_tiers(g: Graph) -> DataFrame:
+    """The same types by the imports of their file alone, with the library's packages."""
+    files = g.table("repo_files").where("content is not null and lower(path) like '%.java'").select("path", "content", F.regexp_extract("content", r"package\s+([\w.]+)\s*;", 1).alias("pkg")).distinct()
+    uses = files.select(F.col("path").alias("file"), "pkg", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?:extends|implements|new)\s+([A-Z]\w*)"), 1))).alias("name"))
+    imports = files.select(F.col("path").alias("file"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"import\s+([\w.]+(?:\.\*)?)\s*;"), 1))).alias("target"))
+    return resolve.imported_names(uses, imports)
+
+
 # --- aggregates, projections, sorts -------------------------------------------------------------------------------
 
 
