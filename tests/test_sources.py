@@ -251,6 +251,23 @@ def test_test_descriptions(spark, tmp_path):
     assert [(r.test_id, r.title, r.steps, r.area) for r in config.csv_cases(spark, str(tmp_path / "c.csv")).collect()] == [("1", "a, b", "x", "")]
 
 
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cell = lambda r, t, v: f'<c r="{r}" t="{t}">' + (f"<is><t>{v}</t></is>" if t == "inlineStr" else f"<v>{v}</v>") + "</c>"
+    rows = [
+        cell("A1", "inlineStr", "Cases of the release"), cell("B3", "s", 0) + cell("C3", "s", 1) + cell("E3", "inlineStr", "Steps"),
+        cell("B4", "s", 2) + cell("C4", "inlineStr", "opens &lt;page&gt;") + cell("E4", "n", 12), cell("C5", "s", 1), cell("B6", "s", 3) + '<c r="C6"/>',
+    ]
+    with zipfile.ZipFile(tmp_path / "cases.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Test ID</t></si><si><r><t>Ti</t></r><r><t>tle</t></r></si><si><t>T-1</t></si><si><t>T-2</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>" + "".join(f"<row>{r}</row>" for r in rows) + "</sheetData></worksheet>")
+        z.writestr("xl/worksheets/sheet10.xml", f"<worksheet {ns}><sheetData/></worksheet>")
+    got = {tuple(r) for r in config.workbook_cases(spark, str(tmp_path)).collect()}
+    assert got == {("T-1", "opens <page>", "", "12", "", "cases.xlsx"), ("T-2", "", "", "", "", "cases.xlsx")}
+
+
 def test_rules_and_registry(spark):
     assert config.parse_rules("T1:\n  add:\n    - METHOD: a.B.c\n  remove:\n    - URL: /x # why\n\n# c\n") == [(0, "T1", "add", "METHOD", "a.B.c"), (1, "T1", "remove", "URL", "/x")]
     for bad in ("T1\n", "T1:\n  change:\n", "T1:\n  add:\n    METHOD: x\n", "T1:\n   add:\n", "T1:\n  add:\n    - METHOD:\n"):

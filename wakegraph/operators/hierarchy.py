@@ -194,7 +194,8 @@ class Hierarchy:
         """Distinct (vertex, descendant) over the acyclic graph, sent upwards in peel order.
 
         Lists travel as rows, so that a root over a third of all nodes is no single value. A vertex's list is complete
-        when its level's turn comes; it is then sent to each parent and filed under the parent's level, to be read once.
+        when its level's turn comes; it is then sent to each parent and filed under the parent's level, one job a level.
+        What was filed, each row once, is the result.
         """
         space = self.space
         arcs = (
@@ -204,14 +205,12 @@ class Hierarchy:
         arcs = space.put(arcs.select("child", "parent", "to_level", "at_level"))
         first = arcs.select(F.col("parent").alias("vertex"), F.col("child").alias("descendant"), "to_level")
         up = arcs.select(F.col("child").alias("vertex"), F.col("parent").alias("up"), "to_level", "at_level")
-        inbox, outgoing, lists = space.folder(first, "to_level"), space.folder(up, "at_level"), space.folder(first, "to_level")
+        inbox, outgoing = space.folder(first, "to_level"), space.folder(up, "at_level")
         inbox.append(first)
         outgoing.append(up)
-        for level in range(1, self.top + 1):
-            lists.append_to(level, inbox.part(level).distinct())
-            if level < self.top:
-                inbox.append(lists.part(level).join(outgoing.part(level), "vertex").select(F.col("up").alias("vertex"), "descendant", "to_level"))
-        return lists.all().select("vertex", "descendant")
+        for level in range(1, self.top):
+            inbox.append(inbox.part(level).distinct().join(outgoing.part(level), "vertex").select(F.col("up").alias("vertex"), "descendant", "to_level"))
+        return inbox.all().select("vertex", "descendant").distinct()
 
     def descendants(self) -> DataFrame:
         """(ancestor, descendant) of all names: what reaches the ancestor over one or more links.
