@@ -2,8 +2,10 @@ import subprocess
 
 import pytest
 
+from tests.harness import compare, connect
 from wakegraph.operators.intervals import anchored_shift, reconciled
 from wakegraph.plans.ingest import counts, ingest
+from wakegraph.queries import all_queries, all_sql
 from wakegraph.sources import config, files, patches
 from wakegraph.sources.java_source import read_java
 
@@ -49,6 +51,39 @@ def test_patch_files_and_edit_ranges(spark):
     assert [(r.line_no, r.text) for r in patches.removed_lines(p).where("path = 'src/A.java'").collect()] == [(21, "removed();")]
 
 
+def damaged(spark, path, *texts):
+    """Writes texts as the documents of kind patch, numbered from 1."""
+    rows = [(n, "patch", text) for n, text in enumerate(texts, 1)]
+    spark.createDataFrame(rows, "doc_id long, doc_kind string, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+ZEROS = "0" * 14
+
+
+def git(old="78", new="90", news="2"):
+    return f"diff --git a/x/A.java b/x/A.java\n--- a/x/A.java\n+++ b/x/A.java\n@@ -{old},3 +{new},4 @@ f(\n+one\n same\n-two\n+three\n@@ -1,2 +1,{news} @@\n-a\n+b\n c\n"
+
+
+DAMAGED = [
+    "", "no patch", git(old="78" + ZEROS), git(old="78" + "0" * 5000), git(old="7\u0660\u06618"), git(new=ZEROS + "90"), git() + "\n--- a/x/Z.java\n+++ b/x/B.java\n@@ -5 +5 @@\n+z\n-y\n", "-cut off\n@@ -1 +1,2 @@\n+--- a/y\n-b\n" + git(),
+    git().replace("+++ ", "++").replace("--- a", "---\u2009 a"), "diff --git a/x/A", "diff  --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n", git().replace("--- a/x/A.java", "--- \u3000b/q\tr"),
+    "diff --git a/o b/n\nnew file mode 1\nrename from o\nrename to n\n\\\n@@ -1 +1,0 @@\n-a\n\\ no newline\n+b\n", git().replace("+++ b/x/A.java", "+++ /dev/null"), git().replace("--- a/x/A.java", "--- /dev/null"),
+]
+
+
+def test_files_of_damaged_patches_agree_with_sql(spark, tmp_path):
+    base = damaged(spark, tmp_path, *DAMAGED)
+    ok, what = compare(spark, connect(base), "patch_files", all_queries()["patch_files"], all_sql()["patch_files"], base)
+    assert ok, what
+
+
+def test_files_of_patches_whose_lines_are_no_int(spark, tmp_path):
+    base = damaged(spark, tmp_path, git("78" + ZEROS, "90" + ZEROS), git(new="90" + "0" * 5000), git(new="90" + ZEROS).replace("+1,2", f"+1{ZEROS},2"))
+    got = {r.patch_id: (r.new_path, r.n_edits, r.first_line, r.last_line) for r in all_queries()["patch_files"](spark, base).collect()}
+    assert got == {1: ("x/A.java", 3, 1, None), 2: ("x/A.java", 3, 1, None), 3: ("x/A.java", 3, None, None)}
+
+
 def test_deleted_declarations(spark):
     p = spark.createDataFrame([(1, PATCH)], "patch_id long, text string")
     got = {(r.kind, r.name, r.params, r.line_no) for r in patches.deleted_declarations(p).collect()}

@@ -22,9 +22,10 @@ def ingest_counts(spark: SparkSession, base: str) -> DataFrame:
 
 
 def patch_files(spark: SparkSession, base: str) -> DataFrame:
-    """Changed files of all patches with their edited ranges."""
-    c = patches.file_changes(_patches(spark, base))
-    return c.select("patch_id", "ordinal", "old_path", "new_path", "change", F.size("hunk_starts").alias("n_edits"), F.array_min("hunk_starts").alias("first_line"), F.array_max("hunk_ends").alias("last_line"))
+    """Changed files of all patches with their edited ranges; a line number that is no int is null."""
+    c = patches.git_changes(_patches(spark, base))
+    last = F.when(~F.exists("hunk_ends", F.isnull), F.array_max("hunk_ends"))
+    return c.select("patch_id", "ordinal", "old_path", "new_path", "change", F.size("hunk_starts").alias("n_edits"), F.array_min("hunk_starts").alias("first_line"), last.alias("last_line"))
 
 
 def patch_lines(spark: SparkSession, base: str) -> DataFrame:
