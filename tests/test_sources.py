@@ -84,6 +84,17 @@ def test_files_of_patches_whose_lines_are_no_int(spark, tmp_path):
     assert got == {1: ("x/A.java", 3, 1, None), 2: ("x/A.java", 3, 1, None), 3: ("x/A.java", 3, None, None)}
 
 
+def test_lines_of_damaged_patches_agree_with_sql(spark, tmp_path):
+    base = damaged(spark, tmp_path, *DAMAGED, git("78" + ZEROS, "90" + ZEROS), git(new="90" + "0" * 5000))
+    ok, what = compare(spark, connect(base), "patch_lines", all_queries()["patch_lines"], all_sql()["patch_lines"], base)
+    assert ok, what
+
+
+def test_lines_of_hunks_longer_than_an_int(spark, tmp_path):
+    base = damaged(spark, tmp_path, git(news="2" + ZEROS), git(news="2" + "0" * 5000))
+    assert {tuple(r) for r in all_queries()["patch_lines"](spark, base).collect()} == {(1, 3, 2), (2, 3, 2)}
+
+
 def test_deleted_declarations(spark):
     p = spark.createDataFrame([(1, PATCH)], "patch_id long, text string")
     got = {(r.kind, r.name, r.params, r.line_no) for r in patches.deleted_declarations(p).collect()}

@@ -30,10 +30,7 @@ def patch_files(spark: SparkSession, base: str) -> DataFrame:
 
 def patch_lines(spark: SparkSession, base: str) -> DataFrame:
     """Added and removed lines of each patch."""
-    p = _patches(spark, base)
-    added = patches.hunk_lines(p).groupBy("patch_id").agg(F.count_if("added").alias("n_added"))
-    removed = patches.removed_lines(p).groupBy("patch_id").agg(F.count(F.lit(1)).alias("n_removed"))
-    return p.select("patch_id").join(added, "patch_id", "left").join(removed, "patch_id", "left").select("patch_id", F.coalesce("n_added", F.lit(0)).alias("n_added"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"))
+    return patches.line_counts(_patches(spark, base))
 
 
 def _java_files(spark: SparkSession, base: str) -> DataFrame:
